@@ -69,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_near_duplicates, op4_substring_dedup, op5_mix_sources, op6_language_id, op7_token_counts, op8_token_files, op9_nearest_neighbours, op10_quality, pipeline)}
 
-_WORDS = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+_WORDS = "list_filter(string_split_regex({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 ORACLE: dict[str, str] = {
     "op1_exact_dedup": r"""
@@ -79,7 +79,7 @@ ORACLE: dict[str, str] = {
         FROM n WINDOW w AS (PARTITION BY s ORDER BY cp DESC, doc_id)""",
     "op3_near_duplicates": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
-        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
         same AS (SELECT min(doc_id) OVER (PARTITION BY k) AS rep, doc_id FROM (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id)),
         r AS (SELECT s.* FROM s JOIN (SELECT DISTINCT rep FROM same) ON doc_id = rep),
@@ -110,7 +110,7 @@ ORACLE: dict[str, str] = {
                CASE WHEN z = 0 THEN 0 ELSE (budget // z * size + least(size, greatest(0, budget - budget // z * z - start))) END::BIGINT AS taken
         FROM p""",
     "op9_nearest_neighbours": """
-        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         p AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20""",
