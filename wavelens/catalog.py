@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .operators import align, curves, discovery, membership, metrics, motif, silhouette
+from .options import FitOptions
+from .plans import discovery as plan
+from .plans.fit import fit, shared_folder
 from .sources import curves as source
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -526,6 +529,31 @@ def aligned_plot_data(spark, sf):
     return out.select("k", "curve_id", "pos", "y", metrics.width_by_membership(F.round("p", 6)).alias("width"), "p_clean")
 
 
+# -- whole procedures (no SQL form: tests hold them against other ways) -------------
+_FIT = dict(c_max=9, iter_max=4, tol=1e-6, iter4elong=2, tol4elong=10.0, iter4clean=3)
+
+
+@query
+def fixpoint_fit(spark, sf):
+    ev = EvDay(spark, sf)
+    return fit(spark, ev.points, ev.lengths, FitOptions(2, 5, **_FIT)).membership
+
+
+@query
+def average_linkage_groups(spark, sf):
+    _, heads, own = _many(spark, sf)
+    return discovery.linkage(spark, heads, discovery.motif_pairs(heads, own), 8e6)[1]
+
+
+@query
+def motif_discovery_pipeline(spark, sf):
+    """Grid of runs, filter, groups, search: motifs in order with their frequencies."""
+    ev = EvDay(spark, sf)
+    grid = plan.find_candidates(spark, ev.points, ev.lengths, [2, 3], [5], 1, shared_folder(spark), FitOptions(2, 5, **_FIT))
+    grouped = plan.group_candidates(spark, plan.filter_candidates(grid, -1.0, 1), [1.0])
+    return plan.search(spark, grouped, ev.points, ev.lengths, ["y"], [1.0]).motifs
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
