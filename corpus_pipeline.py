@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelens.llm._common import Scratch, read_table
+from wavelens.llm._common import Scratch, prefix, read_table
 from wavelens.llm.bpe_codec import encode_decode
 from wavelens.llm.exact_dedup import deduplicated
 from wavelens.llm.minhash import near_duplicates
@@ -16,10 +16,16 @@ from wavelens.llm.mixing import training_order
 from wavelens.llm.quality import classify
 
 
+def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of docs that an operator keeps by doc_id."""
+    own = f"{prefix(docs)}id"
+    kept = judged.where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    kept = classify(spark, docs, read_table(spark, sf_dir, "labels")).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return _kept(docs, classify(spark, docs, read_table(spark, sf_dir, "labels")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +35,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    kept = near_duplicates(spark, docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return _kept(docs, near_duplicates(spark, docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

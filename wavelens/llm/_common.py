@@ -11,7 +11,6 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark import SparkFiles  # noqa: F401  (executors resolve shipped files through it)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,9 +99,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def temp_name(df: DataFrame, stem: str) -> str:
-    """A column name that the frame does not have."""
-    have, name = {c.lower() for c in df.columns}, stem
-    while name.lower() in have:
-        name = "_" + name
-    return name
+def prefix(df: DataFrame) -> str:
+    """What no column name of the frame starts with: own columns beside the
+    frame's are named so."""
+    have, p = [c.lower() for c in df.columns], "_wl_"
+    while any(c.startswith(p) for c in have):
+        p = "_" + p
+    return p

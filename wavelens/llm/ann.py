@@ -19,7 +19,7 @@ from ._common import Scratch, partitions
 from .blobs import pack, unpack
 
 #: Neighbours, vectors of a shard and queries of a block (about), vectors of a leaf, and the relaxation.
-K, SHARD, BLOCK, LEAF, FACTOR = 20, 16_384, 2_048, 128, 1.5
+K, SHARD, BLOCK, LEAF, FACTOR = 20, 16_384, 2_048, 128, 1.0
 
 
 class Tree:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordkit
-from ._common import HOT_SHARE, Scratch, join_unique
+from ._common import HOT_SHARE, Scratch, join_unique, prefix
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -117,14 +117,16 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with the columns of docs. Rows are matched by
     doc_id and, where that is repeated, by their text: of equal rows one stays."""
-    gone = exact_dedup(spark, docs, id_col, text_col).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n"))
-    single = gone.groupBy("_id").agg(F.count("*").alias("_texts"), F.max("_kept").alias("_any"), F.max("_n").alias("_copies"))
-    joined = docs.join(single, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "inner").where("_any")
-    plain = joined.where("_texts = 1 and _copies = 1").select(*docs.columns)
+    p = prefix(docs)
+    own = [f"{p}{c}" for c in ("id", "sha", "kept", "n", "texts", "any", "copies", "own", "pick")]
+    i, sha, kept, n, texts, some, copies, norm, pick = own
+    found = exact_dedup(spark, docs, id_col, text_col).groupBy(F.col("doc_id").alias(i), F.col("text_sha256").alias(sha)).agg(F.max("kept").alias(kept), F.count("*").alias(n))
+    single = found.groupBy(i).agg(F.count("*").alias(texts), F.max(kept).alias(some), F.max(n).alias(copies))
+    joined = docs.join(single, F.col(id_col).cast("long").eqNullSafe(F.col(i)), "inner").where(F.col(some))
+    once = (F.col(texts) == 1) & (F.col(copies) == 1)
+    plain = joined.where(once).select(*docs.columns)
     # Repeated ids are rare: those rows are settled one by one.
-    norm = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", ""), 256)
-    again = joined.where("_texts > 1 or _copies > 1").withColumn("_own", norm).drop("_id")
-    again = again.join(gone.where("_kept"), F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    pick = Window.partitionBy(id_col, "_own").orderBy(F.length(text_col).desc_nulls_last())
-    again = again.withColumn("_pick", F.row_number().over(pick)).where("_pick = 1").select(*docs.columns)
-    return plain.unionByName(again)
+    again = joined.where(~once).withColumn(norm, F.sha2(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", ""), 256)).drop(i)
+    again = again.join(found.where(F.col(kept)), F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.col(norm) == F.col(sha)), "left_semi")
+    again = again.withColumn(pick, F.row_number().over(Window.partitionBy(id_col, norm).orderBy(F.length(text_col).desc_nulls_last()))).where(F.col(pick) == 1)
+    return plain.unionByName(again.select(*docs.columns))

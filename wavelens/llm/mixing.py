@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, join_unique, partitions
+from ._common import Scratch, join_unique, partitions, prefix
 
 #: White space (fixed values) as a Java pattern, and the most often that a document is taken.
 WORD_GAP, REPEATS = "[\\x20\\x09-\\x0D]+", 3
@@ -121,19 +121,22 @@ def training_order(spark: SparkSession, docs: DataFrame, curriculum: Curriculum
     """The documents that the mix takes, one row for each copy, with the columns
     of docs, range-sorted by training position. trim: a copy that ends at the
     source's budget has the words up to there only."""
-    plan = mix(spark, docs, curriculum, id_col, text_col, source_col).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("h2").alias("_h2"), F.col("source").alias("_source"), "copies", "last_words", "size", "source_size", "slope", "start", "budget")
+    p = prefix(docs)
+    mine = {c: f"{p}{c}" for c in ("doc_id", "h2", "source", "copies", "last_words", "size", "source_size", "slope", "start", "budget")}
+    col = lambda c: F.col(f"{p}{c}")
+    plan = mix(spark, docs, curriculum, id_col, text_col, source_col).where("copies > 0").select(*(F.col(c).alias(n) for c, n in mine.items()))
     # Full repeats of a row are alike: they are numbered on both sides.
-    number = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(0)))
+    key = [f"{p}doc_id", f"{p}h2", f"{p}source"]
+    plan = plan.withColumn(f"{p}m", F.row_number().over(Window.partitionBy(*key).orderBy(f"{p}start")))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.withColumn("_doc", F.col(id_col).cast("long")).withColumn("_own", F.xxhash64(text))
-    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_h2")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
-    own = own.withColumn("_n", number("_doc", "_own", source_col))
-    plan = plan.withColumn("_m", F.row_number().over(Window.partitionBy("_id", "_h2", "_source").orderBy("start")))
-    out = own.join(plan, same & (F.col("_n") == F.col("_m"))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    own = docs.withColumns({f"{p}i": F.col(id_col).cast("long"), f"{p}x": F.xxhash64(text), f"{p}s": F.col(source_col).cast("string")})
+    own = own.withColumn(f"{p}n", F.row_number().over(Window.partitionBy(f"{p}i", f"{p}x", f"{p}s").orderBy(F.lit(0))))
+    same = col("i").eqNullSafe(col("doc_id")) & (col("x") == col("h2")) & col("s").eqNullSafe(col("source")) & (col("n") == col("m"))
+    out = own.join(plan, same).withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), col("copies").cast("int"))))
     if trim:
-        cut = (F.col("_copy") == F.col("copies")) & (F.col("last_words") < F.col("size"))
-        words = F.slice(F.filter(F.split(F.col(text_col), WORD_GAP), lambda x: x != ""), 1, F.greatest(F.lit(1), F.col("last_words").cast("int")))
+        cut = (col("copy") == col("copies")) & (col("last_words") < col("size"))
+        words = F.slice(F.filter(F.split(F.col(text_col), WORD_GAP), lambda x: x != ""), 1, F.greatest(F.lit(1), col("last_words").cast("int")))
         out = out.withColumn(text_col, F.when(cut, F.array_join(words, " ")).otherwise(F.col(text_col)))
     # A later copy starts a whole round of the source further on its demand axis.
-    when = _position((F.col("start") + (F.col("_copy") - 1) * F.col("source_size")) / F.col("budget"), F.col("slope")).alias("_when")
-    return out.select(*docs.columns, when).repartitionByRange(partitions(spark), "_when", id_col).sortWithinPartitions("_when", id_col).select(*docs.columns)
+    when = _position((col("start") + (col("copy") - 1) * col("source_size")) / col("budget"), col("slope")).alias(f"{p}when")
+    return out.select(*docs.columns, when).repartitionByRange(partitions(spark), f"{p}when", id_col).sortWithinPartitions(f"{p}when", id_col).select(*docs.columns)
