@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ._common import Scratch, join_unique
 
 
-def _contract(scratch: Scratch, edges: DataFrame, turn: int) -> DataFrame:
-    """(node, root): some node of its component for every node of the distinct edges (u, v)."""
+def _contract(scratch: Scratch, edges: DataFrame, turn: int) -> tuple[DataFrame, int]:
+    """(node, root): some node of its component for every node of the distinct
+    edges (u, v); and the number of rounds."""
     both = edges.union(edges.select("v", "u")).toDF("node", "v")
     if turn < 2:
         low = F.least(F.col("node"), F.min("v"))
@@ -31,15 +32,18 @@ def _contract(scratch: Scratch, edges: DataFrame, turn: int) -> DataFrame:
     smaller = scratch.write(smaller.distinct(), "edges")
     hooks = hooks.select("node", "root")
     if not smaller.head(1):
-        return hooks
-    roots = _contract(scratch, smaller, turn + 1).toDF("root", "up")
-    return hooks.join(roots, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+        return hooks, turn + 1
+    roots, turns = _contract(scratch, smaller, turn + 1)
+    return hooks.join(roots.toDF("root", "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")), turns
 
 
 def connected_components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (columns a, b, long): the
     smallest node that it can reach. Nodes without a link to another are not in it."""
     edges = scratch.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
-    labelled = scratch.write(_contract(scratch, edges, 0), "roots")
+    labelled, turns = _contract(scratch, edges, 0)
+    if turns <= 2:  # in the order of ids the smallest node of a component is its last one
+        return labelled.toDF("node", "component")
+    labelled = scratch.write(labelled, "roots")
     least = labelled.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("weight"))
     return scratch.write(join_unique(labelled, least, ["root"], "weight", labelled.count()).select("node", "component"), "components")

@@ -9,10 +9,12 @@ probability of the sets' similarity, and the number of agreeing coordinates is
 concentrated around it. Bands of coordinates are bucketed; documents that share
 a bucket are candidates, and links are confirmed on the full sets.
 
-No bucket emits all its pairs at first: its members are tried against one pivot
-at a time, and members that a link joins need no further trial among each
-other. What pivots leave open (buckets with several components) is tried pair by
-pair between components, so no candidate is lost."""
+No bucket emits all its pairs: its members are tried against its smallest
+document. Buckets that then hold several components are not settled; documents
+that they connect form groups, and a task takes one block of a group's documents
+against another one and links them exactly: rare shingles first, a document of n
+shingles has one of its first n - ceil(0.75 n) + 1 in common with any document
+that it links, and documents of one component need no further trial."""
 
 from __future__ import annotations
 
@@ -30,8 +32,9 @@ from .components import connected_components
 #: Words of a shingle, similarity of a link in percent, bands and coordinates of a band. A pair
 #: at exactly the limit is no candidate with a probability of (1 - 0.75^5)^48 = 2.2e-6.
 SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 48, 5
-#: Trials of pivots before the rest is tried pair by pair.
-PIVOTS = 4
+#: Documents of a block of an unsettled group, and bits of the filter that tells a scan which
+#: documents have candidates (at most 32 MB; a fuller one only lets more documents through).
+BLOCK, FILTER_BITS = 2_000, 28
 _U = np.uint64
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 64, 4096, dtype=_U)
 
@@ -88,9 +91,14 @@ def _sketches(size: int, bands: int, rows: int):
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, wanted):
+    """Shingles of the documents whose place is set in the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
+            place = batch.column("place").to_numpy()
+            batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7)) & 1 == 1))
             for part, texts in wordkit.slices(batch, wordkit.as_texts(batch.column("text"))):
                 w = wordkit.words(texts, lower=True)
                 sets = wordkit.shingles(w, wordkit.hashes(w), size)
@@ -99,6 +107,21 @@ def _sets(size: int):
     return run
 
 
+def _shingles_of(spark: SparkSession, src: DataFrame, need: DataFrame, size: int) -> DataFrame:
+    """(doc_id, shingles) of the needed documents, and of few others: a filter of
+    their hashed ids goes to the scan, so that no text is shuffled."""
+    bits = max(20, min(FILTER_BITS, int(np.ceil(np.log2(8 * max(1, need.count()))))))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    number = need.select((place + 1).alias("v"))
+    maps = number.groupBy(F.bitmap_bucket_number("v").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("m")).collect()
+    held = np.zeros((1 << bits) // 8, np.uint8)
+    for x in maps:
+        held[(x.b - 1) * 4096 : x.b * 4096] = np.frombuffer(x.m, np.uint8)
+    sent = spark.sparkContext.broadcast(held.tobytes())
+    found = src.where("doc_id is not null").withColumn("place", place).mapInArrow(_sets(size, sent), "doc_id long, shingles binary").where("length(shingles) > 0")
+    return found.join(need, "doc_id", "left_semi") if bits == FILTER_BITS else found
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,53 +163,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     known = made.where("n > 0 and doc_id is not null")
     key = ["n", "d1", "d2"]
     same = scratch.write(known.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("bands").alias("bands")), "same")
-    placed = same.select("rep", F.posexplode("bands").alias("band", "h"))
-    buckets = scratch.write(placed.groupBy("band", "h").agg(F.count("*").alias("weight"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").drop("high"), "buckets")
-    members = join_unique(placed, buckets.select("band", "h", "weight"), ["band", "h"], "weight", max(1, total * bands)).select("band", "h", "rep")
-    links, tried, sets, component, last = None, None, None, None, False
-    for turn in range(PIVOTS + 1):
-        if turn == 0:  # all are their own components still
-            pairs = join_unique(placed, buckets.select("band", "h", "weight", "low"), ["band", "h"], "weight", max(1, total * bands)).where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-        else:
-            members = members if turn > 1 else scratch.write(members, "members")
-            now = scratch.write(_labelled(members, component), "now")
-            state = now.groupBy("band", "h").agg(F.count("*").alias("weight"), F.min("component").alias("c1"), F.max("component").alias("c2"), *_pivot(turn))
-            # With as many members as pivots so far and one more, every pair was tried.
-            state = scratch.write(state.where(f"c1 < c2 and weight > {turn + 1}"), "open")
-            n_open, n_members, n_pairs = state.agg(F.count("*"), F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.sum(F.expr("weight * (weight - 1) / 2")), F.lit(0))).first()
-            if not n_open:
-                break
-            last = turn == PIVOTS or n_pairs <= 4 * n_members + 10_000
-            open_members = join_unique(now, state.drop("c1", "c2"), ["band", "h"], "weight", n_members)
-            if not last:
-                pairs = open_members.where("component <> pivot.c").select(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b"))
-            else:
-                left = scratch.write(open_members.select("band", "h", "rep", "component"), "left")
-                x, y = left.toDF("band", "h", "a", "ca"), left.toDF("band", "h", "b", "cb")
-                pairs = x.join(y, ["band", "h"]).where("ca <> cb and a < b").select("a", "b")
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.write(pairs, "pairs")
-        if not pairs.head(1):
-            if last or turn == 0:
-                break
-            continue
-        tried = pairs if tried is None else tried.unionByName(pairs)
+    placed = same.select("rep", F.explode("bands").alias("h"))
+    buckets = scratch.write(placed.groupBy("h").agg(F.count("*").alias("weight"), F.min("rep").alias("low")).where("weight > 1"), "buckets")
+    members = scratch.write(join_unique(placed, buckets.withColumn("size", F.col("weight")), ["h"], "weight", max(1, total * bands)), "members")
+    pairs = scratch.write(members.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    scratch.release()
+    component = None
+    if pairs.head(1):
         need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        if sets is not None:
-            need = need.join(sets.select("doc_id"), "doc_id", "left_anti")
-        # A representative's text: of rows that repeat its doc_id all are taken, so each text counts.
-        more = scratch.write(src.join(need, "doc_id", "left_semi").mapInArrow(_sets(size), "doc_id long, shingles binary").where("length(shingles) > 0").distinct(), "sets")
-        sets = more if sets is None else sets.unionByName(more)
-        scratch.release()
+        sets = scratch.write(_shingles_of(spark, src, need, size), "sets")
         both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
-        found = scratch.write(both.mapInArrow(_verified(percent), "a long, b long"), "links")
-        links = found if links is None else links.unionByName(found)
-        component = connected_components(scratch, links)
+        links = scratch.write(both.mapInArrow(_verified(percent), "a long, b long"), "links")
         scratch.release()
-        if last:
-            break
+        component = connected_components(scratch, links)
+        more = _settled(scratch, members, component, sets, percent)
+        if more is not None:
+            component = connected_components(scratch, links.unionByName(more))
     # Every row: its set's representative, that one's component.
     best = same.select(*key, "rep", "weight")
     if component is not None:
@@ -201,14 +193,65 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _pivot(turn: int) -> list:
-    """The member that the others of its bucket are tried against in this turn."""
-    who = ["rep", F.col("component").alias("c")]
-    return [(F.max(F.struct(*who)) if turn == 1 else F.min(F.struct(F.xxhash64("rep", F.lit(turn)), *who))).alias("pivot")]
+def _settled(scratch: Scratch, members: DataFrame, component: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links between components of buckets that pivots did not settle."""
+    several = members.where("size > 2")
+    label = F.coalesce("component", "rep").alias("component")
+    now = several.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", "low", label)
+    state = now.groupBy("h").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("weight")).where("c1 < c2").select("h", "weight")
+    state = scratch.write(state, "open")
+    if not state.head(1):
+        return None
+    open_members = scratch.write(join_unique(now, state, ["h"], "weight", several.count()), "unsettled")
+    groups = connected_components(scratch, open_members.select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    docs = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("g"))
+    sizes = docs.groupBy("g").agg(F.count("*").alias("weight"))
+    docs = join_unique(docs, sizes.withColumn("blocks", F.ceil(F.col("weight") / BLOCK).cast("long")), ["g"], "weight", docs.count())
+    docs = docs.join(component.toDF("doc_id", "c"), "doc_id", "left").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    # Each document goes to the tasks of its block with every block of the group, itself included.
+    docs = docs.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    docs = docs.select("doc_id", "g", F.coalesce("c", "doc_id").alias("c"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    found = docs.join(sets, "doc_id").groupBy("g", "x", "y").applyInArrow(_grouped(percent), "a long, b long")
+    return scratch.write(found, "links")
+
 
+def _grouped(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids, labels = table.column("doc_id").to_pylist(), table.column("c").to_pylist()
+        sets = [np.frombuffer(x, _U) for x in table.column("shingles").to_pylist()]
+        order = np.argsort(ids, kind="stable").tolist()
+        distinct, counts = np.unique(np.concatenate(sets), return_counts=True)
+        place = np.empty(len(distinct), np.int64)
+        place[np.lexsort((distinct, counts))] = np.arange(len(distinct))  # rare ones first
+        parent = {c: c for c in labels}
 
-def _labelled(members: DataFrame, component: DataFrame) -> DataFrame:
-    return members.join(component, F.col("rep") == F.col("node"), "left").select("band", "h", "rep", F.coalesce("component", "rep").alias("component"))
+        def find(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        holders: dict[int, list[int]] = {}
+        links: list[tuple[int, int]] = []
+        for i in order:
+            x = sets[i]
+            first = np.sort(place[np.searchsorted(distinct, x)])[: len(x) - -(-percent * len(x) // 100) + 1].tolist()
+            tried = set()
+            for shingle in first:
+                for j in holders.get(shingle, ()):
+                    if j in tried or find(labels[i]) == find(labels[j]):
+                        continue
+                    tried.add(j)
+                    y = sets[j]
+                    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                        continue
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        links.append((ids[i], ids[j]))
+                        parent[find(labels[i])] = find(labels[j])
+                holders.setdefault(shingle, []).append(i)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return run
 
 
 def _closed(scratch: Scratch, known: DataFrame, best: DataFrame, key: list[str]) -> DataFrame:
