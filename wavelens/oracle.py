@@ -118,6 +118,11 @@ def sql() -> dict[str, str]:
         "motif_centroid_trim": ev("SELECT k, (pos - lo + 1)::INTEGER AS pos, round(y, 3) AS y, (hi - lo + 1)::INTEGER AS length, (lo - 1)::INTEGER AS trim_left FROM (SELECT *, min(pos) OVER (PARTITION BY k) AS lo, max(pos) OVER (PARTITION BY k) AS hi FROM ce)", "ln iv ip ish st mb ce", K=2, c2=7).replace("st AS (SELECT curve_id, k, s, p FROM ip JOIN ish USING (curve_id, k))", "st AS (SELECT curve_id, k, s - 2 AS s, p FROM ip JOIN ish USING (curve_id, k) WHERE curve_id % 3 = 0 AND s - 2 < 0)"),
         "motif_objective_jk": ev("SELECT k, round(sum(d * p * p) / 1e6, 3) AS j, min(coalesce(o, 0)) AS least_kept FROM (SELECT st.curve_id, st.k, any_value(p) AS p, count(m.pos) AS o, sum((e.y - m.y) * (e.y - m.y))::DOUBLE / nullif(count(m.pos), 0) AS d FROM st LEFT JOIN ev e ON e.curve_id = st.curve_id LEFT JOIN mp m ON m.k = st.k AND m.pos = e.x - s + 1 WHERE p > 0 GROUP BY st.curve_id, st.k) GROUP BY k", "ln mp iv ip ish st", K=2, c2=7),
         "elongation_grid": "SELECT * FROM (VALUES (1, 0, 1, 8), (1, 0, 2, 9), (1, 0, 3, 10), (1, 1, 0, 8), (1, 1, 1, 9), (1, 1, 2, 10), (1, 2, 0, 9), (1, 2, 1, 10), (1, 3, 0, 10), (2, 0, 1, 21), (2, 0, 4, 24), (2, 0, 7, 27), (2, 0, 10, 30), (2, 1, 0, 21), (2, 1, 1, 22), (2, 1, 4, 25), (2, 1, 7, 28), (2, 4, 0, 24), (2, 4, 1, 25), (2, 4, 4, 28), (2, 7, 0, 27), (2, 7, 1, 28), (2, 10, 0, 30), (4, 0, 1, 31), (4, 0, 6, 36), (4, 0, 10, 40), (4, 0, 15, 45), (4, 1, 0, 31), (4, 1, 1, 32), (4, 1, 6, 37), (4, 1, 10, 41), (4, 6, 0, 36), (4, 6, 1, 37), (4, 6, 6, 42), (4, 10, 0, 40), (4, 10, 1, 41), (4, 15, 0, 45)) t(k, add_left, add_right, new_length)",
+        "elongation_choice": _with("li", """, g AS (SELECT a, b FROM (VALUES (0), (1), (4), (6)) t(a), (VALUES (0), (1), (4), (6)) u(b) WHERE a + b <= 6),
+            p AS (SELECT a, b, curve_id, x, y, count(*) OVER (PARTITION BY a, b, curve_id) AS o FROM g JOIN li ON x BETWEEN 20 - a AND 27 + b),
+            c AS (SELECT a, b, x, sum(y / o::DOUBLE) / sum(1.0::DOUBLE / o) AS c FROM p GROUP BY ALL),
+            j AS (SELECT a, b, sum(d) AS j, min(o) AS least FROM (SELECT a, b, curve_id, sum((y - c) * (y - c)) / count(*) AS d, count(*) AS o FROM p JOIN c USING (a, b, x) GROUP BY ALL) GROUP BY ALL)
+            SELECT 1 AS k, round((j - z) / z, 6) AS rel, a AS add_left, b AS add_right FROM j, (SELECT j AS z FROM j WHERE a + b = 0) WHERE a + b > 0 AND least >= floor((8 + a + b) * 0.8) AND (j - z) / z < 10 ORDER BY (j - z) / z, a, b LIMIT 1"""),
         "membership_fuzzy_m2": fz("SELECT curve_id, k, round(p, 6) AS p FROM fz"),
         "membership_fuzzy_m3": fz("SELECT curve_id, k, round(p, 6) AS p FROM fz", m="3.0"),
         "membership_zero_distance": fz("SELECT curve_id, k, d, p FROM fz WHERE p = 1.0"),
