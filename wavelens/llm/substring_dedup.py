@@ -30,8 +30,9 @@ WINDOW, GRAM, LONGEST = 20, 4, 256
 #: Share of all grams from which a gram is common (so at most 1 / share are, 8 MB of hashes), its least
 #: count, and the size of the summary that a task keeps of its grams.
 COMMON, COMMON_LEAST, SUMMARY = 1e-6, 500, 200_000
-#: Bytes of packed strings in a bucket, about, and of text that is dealt out together.
-BUCKET, TOGETHER = 48 << 20, 8 << 20
+#: Bytes of packed strings in a bucket, about, of those of it that are sorted together, and of text
+#: that is dealt out together.
+BUCKET, SORTED, TOGETHER = 48 << 20, 4 << 20, 6 << 20
 _U = np.uint64
 _LATE = _U(1 << 63)
 
@@ -121,9 +122,10 @@ def _dealt(buckets: int, common, window: int, gram: int):
                 starts, size, low = super_kmers(w, hot, window, gram)
                 flat, at = _spaced(w)
                 own, begin = w.doc[starts], starts - w.first()[:-1][w.doc[starts]]
-                bucket = (wordkit.mix(low) % _U(buckets)).astype(np.int64)
+                hashed = wordkit.mix(low)
+                bucket, fine = (hashed % _U(buckets)).astype(np.int64), ((hashed >> _U(40)) & _U(255)).astype(np.uint8)
                 order = np.argsort(bucket, kind="stable")
-                bucket, own, begin, size = bucket[order], own[order], begin[order], size[order]
+                bucket, fine, own, begin, size = bucket[order], fine[order], own[order], begin[order], size[order]
                 low, high = at[starts[order]].tolist(), at[starts[order] + size + window - 1].tolist()
                 rows, ends = [], np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket)).tolist()
                 a = 0
@@ -137,7 +139,8 @@ def _dealt(buckets: int, common, window: int, gram: int):
                         elif (own[i], begin[i]) != (own[j], begin[j]):
                             again.append(i)
                     sent = [x for i in (keep, again) for x in (doc[own[i]], th[own[i]], begin[i].astype(np.int32), size[i].astype(np.int32))]
-                    rows.append((int(bucket[a]), pack([b"".join(seen), *sent])))
+                    lengths = np.fromiter(map(len, seen), np.int32, len(seen))
+                    rows.append((int(bucket[a]), pack([b"".join(seen), lengths, fine[keep], *sent])))
                     a = b
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "blob"])
 
@@ -181,48 +184,57 @@ def repeated_windows(flat: bytes, doc: np.ndarray, th: np.ndarray, begin: np.nda
 def _found(window: int):
     schema = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
-    def bucket(blobs: list[bytes]) -> pa.RecordBatch:
-        strings, tables, again = [], [[], [], [], []], [[], [], [], []]
+    def batch_of(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(x.astype(f.type.to_pandas_dtype())) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def bucket(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """Strings whose minimisers share some bits are sorted together, a few
+        MB at a time."""
+        strings, tables = [], [[] for _ in range(10)]
         for blob in blobs:
             text, *cols = unpack(blob)
-            for into, x in zip([*tables, *again], cols, strict=True):
+            for into, x in zip(tables, cols, strict=True):
                 into.append(x)
             strings.append(text.tobytes())
-        doc, th, begin, size = map(np.concatenate, tables)
-        size = size.astype(np.int64)
-        # Where each string lies: its words are counted off by the spaces after them.
-        flat = b"".join(strings)
-        spaces = np.flatnonzero(np.frombuffer(flat, np.uint8) == 0x20) + 1
-        upto = np.concatenate([[0], spaces])[np.cumsum(size + window - 1)] if len(size) else np.zeros(0, np.int64)
+        length, fine, doc, th, begin, size, *again = map(np.concatenate, tables)
+        yield batch_of(again)
+        flat, ends = b"".join(strings), np.cumsum(length.astype(np.int64))
+        strings.clear()
+        order = np.lexsort((begin, th, doc, fine))
+        places = np.searchsorted(fine[order], np.arange(257))
+        upto = np.concatenate([[0], np.cumsum(length[order].astype(np.int64))])[places]
+        k = 0
+        while k < 256:
+            j = max(k + 1, int(np.searchsorted(upto, upto[k] + SORTED, "right")) - 1)
+            own = order[places[k] : places[j]]
+            if len(own):
+                yield part(flat, (ends - length)[own], ends[own], doc[own], th[own], begin[own].astype(np.int64), size[own].astype(np.int64))
+            k = j
+
+    def part(flat: bytes, low: np.ndarray, high: np.ndarray, doc: np.ndarray, th: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((begin, th, doc))
-        low, high = np.concatenate([[0], upto[:-1]])[order].tolist() if len(size) else [], upto[order].tolist()
-        flat = b"".join([flat[a:b] for a, b in zip(low, high, strict=True)])
-        doc, th, begin, size = doc[order], th[order], begin[order].astype(np.int64), size[order]
-        out = list(map(np.concatenate, again))
-        if len(size):
-            repeat = repeated_windows(flat, doc, th, begin, size, window)
-            kmer = np.repeat(np.arange(len(size)), size)
-            first = repeat.copy()
-            first[1:] &= ~repeat[:-1] | (kmer[1:] != kmer[:-1])
-            starts = np.flatnonzero(first)
-            upto = np.cumsum(repeat)
-            n = np.diff(np.append(upto[starts] - 1, upto[-1]))
-            own = kmer[starts]
-            at = begin[own] + starts - (np.cumsum(size) - size)[own]
-            out = [np.concatenate(x) for x in zip(out, (doc[own], th[own], at, n), strict=True)]
-        return pa.record_batch([pa.array(x.astype(f.type.to_pandas_dtype())) for x, f in zip(out, schema, strict=True)], schema=schema)
+        doc, th, begin, size = doc[order], th[order], begin[order], size[order]
+        text = b"".join([flat[a:b] for a, b in zip(low[order].tolist(), high[order].tolist(), strict=True)])
+        repeat = repeated_windows(text, doc, th, begin, size, window)
+        kmer = np.repeat(np.arange(len(size)), size)
+        first = repeat.copy()
+        first[1:] &= ~repeat[:-1] | (kmer[1:] != kmer[:-1])
+        starts, upto = np.flatnonzero(first), np.cumsum(repeat)
+        n = np.diff(np.append(upto[starts] - 1, upto[-1]))
+        own = kmer[starts]
+        return batch_of([doc[own], th[own], begin[own] + starts - (np.cumsum(size) - size)[own], n])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
         for batch in batches:
             for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 if held and b != last:  # sorted by bucket
-                    yield bucket(held)
+                    yield from bucket(held)
                     held = []
                 held.append(blob)
                 last = b
         if held:
-            yield bucket(held)
+            yield from bucket(held)
 
     return run
 
