@@ -12,7 +12,7 @@ from . import oracle
 from .operators import align, curves, discovery, membership, metrics, motif, silhouette
 from .options import FitOptions
 from .plans import discovery as plan
-from .plans.fit import fit, shared_folder
+from .plans.fit import fit, run_folder
 from .sources import curves as source
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -549,7 +549,7 @@ def average_linkage_groups(spark, sf):
 def motif_discovery_pipeline(spark, sf):
     """Grid of runs, filter, groups, search: motifs in order with their frequencies."""
     ev = EvDay(spark, sf)
-    grid = plan.find_candidates(spark, ev.points, ev.lengths, [2, 3], [5], 1, shared_folder(spark), FitOptions(2, 5, **_FIT))
+    grid = plan.find_candidates(spark, ev.points, ev.lengths, [2, 3], [5], 1, run_folder(spark), FitOptions(2, 5, **_FIT))
     grouped = plan.group_candidates(spark, plan.filter_candidates(grid, -1.0, 1), [1.0])
     return plan.search(spark, grouped, ev.points, ev.lengths, ["y"], [1.0]).motifs
 

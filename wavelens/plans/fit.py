@@ -9,8 +9,6 @@ written to the shared folder at each iteration, which cuts lineage."""
 from __future__ import annotations
 
 import math
-import os
-import tempfile
 import time
 import uuid
 import warnings
@@ -25,32 +23,11 @@ from pyspark.sql import functions as F
 from ..functions import kernels
 from ..operators import curves as algebra
 from ..options import FitOptions
+from ..session import shared_folder, ship
 
 
-def shared_folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_wavelens_fits", None) or "file://" + tempfile.mkdtemp(prefix="wavelens-fit-")
-        spark._wavelens_fits = base
-    return f"{base.rstrip('/')}/fit-{uuid.uuid4().hex[:12]}"
-
-
-def ship(spark: SparkSession) -> None:
-    """Make the package importable on the executors."""
-    sc = spark.sparkContext
-    if not getattr(sc, "_wavelens_shipped", False):
-        import io
-        import zipfile
-        from pathlib import Path
-
-        root, blob = Path(__file__).resolve().parents[1], io.BytesIO()
-        with zipfile.ZipFile(blob, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, str(p.relative_to(root.parent)))
-        out = os.path.join(tempfile.mkdtemp(prefix="wavelens-"), "wavelens_pkg.zip")
-        Path(out).write_bytes(blob.getvalue())
-        sc.addPyFile(out)
-        sc._wavelens_shipped = True
+def run_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/fit-{uuid.uuid4().hex[:12]}"
 
 
 @dataclass
@@ -221,7 +198,7 @@ class Fitter:
     def __init__(self, spark: SparkSession, curves: DataFrame, channels: int, weights: Sequence[float], runs: list[Run], given=None):
         ship(spark)
         self.spark, self.channels, self.weights, self.runs = spark, channels, np.array(weights, float), runs
-        self.root, self.turn = shared_folder(spark), 0
+        self.root, self.turn = run_folder(spark), 0
         known = [(r.run_id, r.options) for r in runs]
         for r in runs:
             r.began = time.perf_counter()
