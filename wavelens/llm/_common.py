@@ -4,51 +4,19 @@ lineage, the package's way to the executors and the join for skewed keys."""
 from __future__ import annotations
 
 import gc
-import io
-import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder, ship
+
 #: `[\x20\x09-\x0D]`: the white space of all operators here (fixed values).
 SPACE = " \t\n\x0b\x0c\r"
 #: A key holding at least this share of the rows counts as hot; at most 1 / share such keys exist.
 HOT_SHARE = 1 / 200
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application, so that
-    executors need no installed copy."""
-    sc = spark.sparkContext
-    if getattr(sc, "_wavelens_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    blob = io.BytesIO()
-    with zipfile.ZipFile(blob, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    out = Path(tempfile.mkdtemp(prefix="wavelens-")) / "wavelens_pkg.zip"
-    out.write_bytes(blob.getvalue())
-    sc.addPyFile(str(out))
-    sc._wavelens_shipped = True
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where
-    that is unset (local tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_wavelens_local", None)
-        if base is None:
-            base = "file://" + tempfile.mkdtemp(prefix="wavelens-shared-")
-            spark._wavelens_local = base
-    return base.rstrip("/")
-
-
 class Scratch:
     """Written tables in the shared folder. `write` materialises a frame there
     and returns the frame that reads it back: lineage ends at the file, so lost
@@ -91,6 +59,12 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     return left.join(F.broadcast(hot), keys, "inner").unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "inner"))
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the documents: joined by shuffle at every
+    size, never broadcast because it happens to be small."""
+    return df.hint("merge")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordkit
-from ._common import Scratch, ship
+from ._common import Scratch, growing, ship
 
 #: Characters of an n-gram, bits of a class, quantile of trusted documents that is kept, trusted
 #: documents that a language needs for a quantile of its own, and grains of log perplexity per unit.
@@ -159,7 +159,7 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     scratch = Scratch(spark, "quality")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     trusted = scratch.write(labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("doc_id"), "trusted")
-    model = train(spark, src.select("doc_id", "text").join(trusted, "doc_id", "left_semi"), scratch)
+    model = train(spark, src.select("doc_id", "text").join(growing(trusted), "doc_id", "left_semi"), scratch)
     scratch.release()
     scores = scratch.write(src.mapInArrow(_scored(spark.sparkContext.broadcast(model), scratch.root), "doc_id long, lang string, n_chars long, nats double"), "scores")
     language = F.coalesce(F.concat(F.lit("l"), F.col("lang")), F.lit("n"))
