@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordkit
-from ._common import Scratch, join_unique
+from ._common import Scratch, growing, join_unique
 from .components import connected_components
 
 #: Words of a shingle, similarity of a link in percent, bands and coordinates of a band. A pair
@@ -119,7 +119,7 @@ def _shingles_of(spark: SparkSession, src: DataFrame, need: DataFrame, size: int
         held[(x.b - 1) * 4096 : x.b * 4096] = np.frombuffer(x.m, np.uint8)
     sent = spark.sparkContext.broadcast(held.tobytes())
     found = src.where("doc_id is not null").withColumn("place", place).mapInArrow(_sets(size, sent), "doc_id long, shingles binary").where("length(shingles) > 0")
-    return found.join(need, "doc_id", "left_semi") if bits == FILTER_BITS else found
+    return found.join(growing(need), "doc_id", "left_semi") if bits == FILTER_BITS else found
 
 
 def _verified(percent: int):
@@ -172,7 +172,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     if pairs.head(1):
         need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         sets = scratch.write(_shingles_of(spark, src, need, size), "sets")
-        both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
+        both = pairs.join(growing(sets.toDF("b", "sb")), "b").join(growing(sets.toDF("a", "sa")), "a").select("a", "b", "sa", "sb")
         links = scratch.write(both.mapInArrow(_verified(percent), "a long, b long"), "links")
         scratch.release()
         component = connected_components(scratch, links)
@@ -211,7 +211,7 @@ def _settled(scratch: Scratch, members: DataFrame, component: DataFrame, sets: D
     # Each document goes to the tasks of its block with every block of the group, itself included.
     docs = docs.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     docs = docs.select("doc_id", "g", F.coalesce("c", "doc_id").alias("c"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    found = docs.join(sets, "doc_id").groupBy("g", "x", "y").applyInArrow(_grouped(percent), "a long, b long")
+    found = docs.join(growing(sets), "doc_id").groupBy("g", "x", "y").applyInArrow(_grouped(percent), "a long, b long")
     return scratch.write(found, "links")
 
 
