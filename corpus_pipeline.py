@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelens.llm._common import Scratch, prefix, read_table
+from wavelens.llm._common import Scratch, growing, prefix, read_table
 from wavelens.llm.bpe_codec import encode_decode
 from wavelens.llm.exact_dedup import deduplicated
 from wavelens.llm.minhash import near_duplicates
@@ -20,7 +20,7 @@ def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """The rows of docs that an operator keeps by doc_id."""
     own = f"{prefix(docs)}id"
     kept = judged.where("kept").select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
+    return docs.join(growing(kept), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

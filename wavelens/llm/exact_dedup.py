@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordkit
-from ._common import HOT_SHARE, Scratch, join_unique, prefix
+from ._common import HOT_SHARE, Scratch, growing, join_unique, prefix
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -120,13 +120,17 @@ def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     p = prefix(docs)
     own = [f"{p}{c}" for c in ("id", "sha", "kept", "n", "texts", "any", "copies", "own", "pick")]
     i, sha, kept, n, texts, some, copies, norm, pick = own
+    scratch = Scratch(spark, "kept")
     found = exact_dedup(spark, docs, id_col, text_col).groupBy(F.col("doc_id").alias(i), F.col("text_sha256").alias(sha)).agg(F.max("kept").alias(kept), F.count("*").alias(n))
-    single = found.groupBy(i).agg(F.count("*").alias(texts), F.max(kept).alias(some), F.max(n).alias(copies))
-    joined = docs.join(single, F.col(id_col).cast("long").eqNullSafe(F.col(i)), "inner").where(F.col(some))
-    once = (F.col(texts) == 1) & (F.col(copies) == 1)
-    plain = joined.where(once).select(*docs.columns)
+    found = scratch.write(found, "found")
+    single = scratch.write(found.groupBy(i).agg(F.count("*").alias(texts), F.max(kept).alias(some), F.max(n).alias(copies)), "ids")
+    once, same = (F.col(texts) == 1) & (F.col(copies) == 1), F.col(id_col).cast("long").eqNullSafe(F.col(i))
+    plain = docs.join(growing(single.where(once & F.col(some))), same, "left_semi")
+    if not single.where(~once).head(1):
+        return plain
     # Repeated ids are rare: those rows are settled one by one.
-    again = joined.where(~once).withColumn(norm, F.sha2(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", ""), 256)).drop(i)
-    again = again.join(found.where(F.col(kept)), F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.col(norm) == F.col(sha)), "left_semi")
+    again = docs.join(single.where(~once & F.col(some)), same, "left_semi")
+    again = again.withColumn(norm, F.sha2(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", ""), 256))
+    again = again.join(found.where(F.col(kept)), same & (F.col(norm) == F.col(sha)), "left_semi")
     again = again.withColumn(pick, F.row_number().over(Window.partitionBy(id_col, norm).orderBy(F.length(text_col).desc_nulls_last()))).where(F.col(pick) == 1)
     return plain.unionByName(again.select(*docs.columns))

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, join_unique, partitions, prefix
+from ._common import Scratch, growing, join_unique, partitions, prefix
 
 #: White space (fixed values) as a Java pattern, and the most often that a document is taken.
 WORD_GAP, REPEATS = "[\\x20\\x09-\\x0D]+", 3
@@ -125,14 +125,17 @@ def training_order(spark: SparkSession, docs: DataFrame, curriculum: Curriculum
     mine = {c: f"{p}{c}" for c in ("doc_id", "h2", "source", "copies", "last_words", "size", "source_size", "slope", "start", "budget")}
     col = lambda c: F.col(f"{p}{c}")
     plan = mix(spark, docs, curriculum, id_col, text_col, source_col).where("copies > 0").select(*(F.col(c).alias(n) for c, n in mine.items()))
-    # Full repeats of a row are alike: they are numbered on both sides.
+    plan = Scratch(spark, "order").write(plan, "plan")
     key = [f"{p}doc_id", f"{p}h2", f"{p}source"]
-    plan = plan.withColumn(f"{p}m", F.row_number().over(Window.partitionBy(*key).orderBy(f"{p}start")))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     own = docs.withColumns({f"{p}i": F.col(id_col).cast("long"), f"{p}x": F.xxhash64(text), f"{p}s": F.col(source_col).cast("string")})
-    own = own.withColumn(f"{p}n", F.row_number().over(Window.partitionBy(f"{p}i", f"{p}x", f"{p}s").orderBy(F.lit(0))))
-    same = col("i").eqNullSafe(col("doc_id")) & (col("x") == col("h2")) & col("s").eqNullSafe(col("source")) & (col("n") == col("m"))
-    out = own.join(plan, same).withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), col("copies").cast("int"))))
+    same = col("i").eqNullSafe(col("doc_id")) & (col("x") == col("h2")) & col("s").eqNullSafe(col("source"))
+    if docs.groupBy(F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("x"), F.col(source_col).cast("string").alias("s")).count().where("count > 1").head(1):
+        # Full repeats of a row are alike: they are numbered on both sides.
+        plan = plan.withColumn(f"{p}m", F.row_number().over(Window.partitionBy(*key).orderBy(f"{p}start")))
+        own = own.withColumn(f"{p}n", F.row_number().over(Window.partitionBy(f"{p}i", f"{p}x", f"{p}s").orderBy(F.lit(0))))
+        same = same & (col("n") == col("m"))
+    out = own.join(growing(plan), same).withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), col("copies").cast("int"))))
     if trim:
         cut = (col("copy") == col("copies")) & (col("last_words") < col("size"))
         words = F.slice(F.filter(F.split(F.col(text_col), WORD_GAP), lambda x: x != ""), 1, F.greatest(F.lit(1), col("last_words").cast("int")))
