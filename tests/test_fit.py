@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wavelens.operators import align, membership, motif
 from wavelens.options import FitOptions
 from wavelens.plans import discovery, plotdata
-from wavelens.plans.fit import fit
+from wavelens.plans.fit import checked_start, fit
 
 
 def planted(n=12, length=60, size=15, seed=3):
@@ -34,7 +34,7 @@ def test_one_iteration_agrees_with_operators(spark):
     curves = planted()
     points, lengths = frames(spark, curves)
     points = points.where("not (curve_id = 3 and x between 20 and 24)")
-    p0 = {i: ([0.3 + 0.02 * i, 0.7 - 0.02 * i], [i + 1, 2 * i + 2]) for i, _, _ in curves}
+    p0 = {i: ([0.3 + 0.02 * i, 0.7 - 0.02 * i], [i + 1, 2 * i + 2 if i != 3 else 30]) for i, _, _ in curves}
     with pytest.warns(UserWarning):
         got = fit(spark, points, lengths, FitOptions(2, 15, iter_max=1, max_gap=0.2), given={1: p0})
     rows = [(i, k + 1, s[k], p[k]) for i, (p, s) in p0.items() for k in range(2)]
@@ -69,6 +69,15 @@ def test_planted_motifs_are_found(spark):
     assert all(sum(x.p for x in rows if x.curve_id == i) == pytest.approx(1) for i in label)
 
 
+def test_wrong_starts_are_replaced():
+    many = [FitOptions(2, 5), FitOptions(2, 5)]
+    with pytest.warns(UserWarning):
+        got = checked_start({1: {1: ([0.9, 0.3], [1, 1])}, 2: {1: ([0.5, 0.5], [1, 1])}}, many)
+    assert got == {1: {1: (None, [1, 1])}, 2: {1: ([0.5, 0.5], [1, 1])}}
+    with pytest.warns(UserWarning):
+        assert checked_start({1: {1: ([1.0, 0.0], [1, 1]), 2: ([1.0, 0.0], [1, 1])}}, many)[1][1][0] is None
+
+
 def test_motifs_grow(spark):
     curves = planted(n=8, size=20, seed=5)
     points, lengths = frames(spark, curves)

@@ -114,11 +114,12 @@ def _initial(runs: list[tuple[int, FitOptions]], channels: int, given: dict[int,
             for row, y in _rows(batch, channels):
                 there, state = ~np.isnan(y[:, 0]), []
                 for run_id, o in runs:
-                    if row["curve_id"] in given.get(run_id, {}):
-                        p, s = given[run_id][row["curve_id"]]
-                    else:
+                    p, s = given.get(run_id, {}).get(row["curve_id"], (None, None))
+                    if p is None:
                         cuts = sorted(_uniform(row["curve_id"], k, 0, o.seed) for k in range(1, o.K))
                         p = np.diff([0.0, *cuts, 1.0]).tolist()
+                    # A given start must have a whole window of points.
+                    if s is None or any(np.isnan(kernels.window(y, s[k], o.c[k])[:, 0]).any() for k in range(o.K)):
                         s = []
                         for k in range(o.K):
                             full = np.convolve(there, np.ones(o.c[k]), "valid") == o.c[k] if len(there) >= o.c[k] else np.zeros(0, bool)
@@ -412,12 +413,30 @@ class Fitter:
         )
 
 
+def checked_start(given: dict[int, dict[int, tuple[list[float], list[int]]]], many: Sequence[FitOptions]) -> dict[int, dict[int, tuple[list[float] | None, list[int]]]]:
+    """Given memberships that are no memberships (range, sums of curves, a motif
+    without any) are replaced by hashed ones for the run, with a warning."""
+    out = {}
+    for run_id, rows in given.items():
+        k = many[run_id - 1].K
+        right = all(len(p) == k and min(p) >= 0 and max(p) <= 1 and abs(sum(p) - 1) <= 1e-9 for p, _ in rows.values())
+        right = right and all(any(p[i] > 0 for p, _ in rows.values()) for i in range(k))
+        if not right:
+            warnings.warn(f"the memberships given for run {run_id} are not valid; hashed ones are used", stacklevel=3)
+        if any(len(s) != k for _, s in rows.values()):
+            warnings.warn(f"the shifts given for run {run_id} are not valid; hashed ones are used", stacklevel=3)
+            rows = {}
+        out[run_id] = {i: (p if right else None, s) for i, (p, s) in rows.items()}
+    return out
+
+
 def fit(spark: SparkSession, points: DataFrame, lengths: DataFrame, options: FitOptions | Sequence[FitOptions], levels: Sequence[str] = ("y",), derivatives: Sequence[str] = (), given: dict[int, dict[int, tuple[list[float], list[int]]]] | None = None) -> Fit:
     """API1: fit all options (one run each, numbered from 1) on the curves.
 
     points: curve_id, x and value columns, null or no row where missing; lengths:
     curve_id, len. Runs share distance, alpha and weights. given: memberships and
-    shifts of curves to start from, per run; others start from hashes of the seed."""
+    shifts of curves to start from, per run; others, and starts without a whole
+    window of points, are made from hashes of the seed."""
     many = [options] if isinstance(options, FitOptions) else list(options)
     n = lengths.count()
     many = [o.checked(n, len(levels)) for o in many]
@@ -431,7 +450,7 @@ def fit(spark: SparkSession, points: DataFrame, lengths: DataFrame, options: Fit
         points = algebra.standardize(points, list(levels), list(derivatives))
     runs = [Run(i, o) for i, o in enumerate(many, 1)]
     points = algebra.repair(points, values)
-    fitter = Fitter(spark, pack_curves(points, lengths, values), len(values), first.channel_weights(len(levels)), runs, given)
+    fitter = Fitter(spark, pack_curves(points, lengths, values), len(values), first.channel_weights(len(levels)), runs, checked_start(given or {}, many))
     longest = algebra.shortest_longest(algebra.intervals(points, values)).first()[0] or 0
     for r in runs:
         if max(r.options.c) > longest:
