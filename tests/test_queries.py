@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from wavelens import catalog
@@ -22,7 +23,7 @@ def rows(df):
     df = df[sorted(df.columns)]
 
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         return v.item() if isinstance(v, np.generic) else v
 
