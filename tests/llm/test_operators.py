@@ -159,6 +159,15 @@ def test_remove_repeats(spark, request, table):
     assert got == expected
 
 
+def test_remove_repeats_full_rows(spark):
+    """Copies of a whole row count as one document, in one slice or in several."""
+    text = " ".join(f"v{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "x " + text)], "doc_id long, text string")
+    for parts in (docs.coalesce(1), docs.repartition(3)):
+        got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(spark, parts, with_text=True).collect())
+        assert got == [(1, 50, 0, text), (1, 50, 0, text), (2, 51, 50, "x")]
+
+
 def test_common_passages_take_other_ways(spark, monkeypatch):
     """With a low bar for common grams the result is the same."""
     from wavelens.llm import substring_dedup

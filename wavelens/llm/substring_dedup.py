@@ -136,7 +136,7 @@ def _dealt(buckets: int, common, window: int, gram: int):
                         j = seen.setdefault(flat[low[i] : high[i]], i)
                         if j == i:
                             keep.append(i)
-                        elif (own[i], begin[i]) != (own[j], begin[j]):
+                        elif (doc[own[i]], th[own[i]], begin[i]) != (doc[own[j]], th[own[j]], begin[j]):
                             again.append(i)
                     sent = [x for i in (keep, again) for x in (doc[own[i]], th[own[i]], begin[i].astype(np.int32), size[i].astype(np.int32))]
                     lengths = np.fromiter(map(len, seen), np.int32, len(seen))
