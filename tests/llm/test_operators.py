@@ -362,6 +362,20 @@ def test_quality(spark, odd):
     assert all(r.kept == (r.n_chars > 0) for r in nothing)
 
 
+def test_quality_small_language(spark):
+    """A language with few trusted documents is judged by their quantile, one
+    with none by that of all."""
+    plain, letters = "the cat sat on the mat and the dog ran ", np.random.default_rng(5)
+    mixed = lambda: "".join(letters.choice(list("qwxzjkv "), 300))
+    rows = [(i, plain * (2 + i % 7), "a") for i in range(60)] + [(100 + i, mixed(), "b") for i in range(3)] + [(200, mixed(), "c"), (201, plain * 4, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows if r[2] != "c"], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in quality.classify(spark, docs, labels, quantile=0.9).collect()}
+    assert all(out[i].kept for i in (100, 101, 102))
+    assert out[100].threshold > out[0].threshold
+    assert not out[200].kept and out[200].threshold < out[100].threshold
+
+
 def test_kneser_ney_sums_to_one():
     """The table of a small model: every context's shares add up to one, and the
     highest order has the discounted counts by hand."""

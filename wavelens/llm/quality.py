@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from . import wordkit
 from ._common import Scratch, growing, ship
 
-#: Characters of an n-gram, bits of a class, quantile of trusted documents that is kept, trusted
-#: documents that a language needs for a quantile of its own, and grains of log perplexity per unit.
-ORDER, BITS, QUANTILE, LEAST, GRAINS = 4, 6, 0.999, 50, 2000
+#: Characters of an n-gram, bits of a class, quantile of trusted documents that is kept, and grains of
+#: log perplexity per unit.
+ORDER, BITS, QUANTILE, GRAINS = 4, 6, 0.999, 2000
 #: Characters of average text that every document counts with, so that a few odd ones don't decide a short text.
 PRIOR = 40
 _PUNCTUATION = {c: k for k, group in enumerate((".", ",", "'\"’“”«»", "-–—", "!?;:", "|"), 56) for c in group}
@@ -150,8 +150,8 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     Trusted are the documents that `labels` (doc_id, quality, toxic) calls of
     quality 1 and not toxic; all of them are counted. Perplexities are smoothed
     by PRIOR characters of the language's mean. The threshold is the quantile of
-    the trusted documents of the language (null is one too; a language with fewer
-    than LEAST takes that of all languages), in steps of 1 / GRAINS of log
+    the trusted documents of the language (null is one too; only a language
+    without any takes that of all languages), in steps of 1 / GRAINS of log
     perplexity, so that it comes from counts and is the same in every run.
     Null and empty texts are not kept. Without any trusted document all others
     are kept. Rows that repeat a doc_id share its label; other columns are not read."""
@@ -173,8 +173,8 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     both = bins.unionByName(bins.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("language", F.lit("")))
     upto = F.sum("n").over(Window.partitionBy("language").orderBy("bin"))
     rows = both.withColumn("upto", upto).withColumn("all", F.sum("n").over(Window.partitionBy("language")))
-    cuts = rows.where(F.col("upto") >= quantile * F.col("all")).groupBy("language").agg(F.min("bin").alias("bin"), F.max("all").alias("all"))
-    cuts = {x.language: (x.bin + 1) / GRAINS for x in cuts.collect() if x["all"] >= LEAST or not x.language}  # one for each language
+    cuts = rows.where(F.col("upto") >= quantile * F.col("all")).groupBy("language").agg(F.min("bin").alias("bin"))
+    cuts = {x.language: (x.bin + 1) / GRAINS for x in cuts.collect()}  # one for each language
     overall = cuts.pop("", float("inf"))
     cut = F.coalesce(F.create_map(*[F.lit(v) for kv in cuts.items() for v in kv])[F.col("language")], F.lit(overall)) if cuts else F.lit(overall)
     out = with_mean(scores).withColumn("log", F.when(F.col("n_chars") > 0, smooth)).withColumn("cut", cut)
