@@ -1,7 +1,8 @@
 """Plain definitions of results, one document or pair at a time."""
 
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -54,3 +55,43 @@ def kept_words(docs, window=20):
                 gone[i : i + window] = [True] * window
         out[d] = [x for x, g in zip(w, gone, strict=True) if not g]
     return out
+
+
+class KneserNey:
+    """Interpolated modified Kneser-Ney over the bytes of texts, zeros before each."""
+
+    def __init__(self, texts, order):
+        self.order, level = order, Counter()
+        for t in texts:
+            b = bytes(order - 1) + t.encode()
+            level.update(b[i : i + order] for i in range(len(b) - order + 1))
+        self.levels = {order: level}
+        for k in range(order - 1, 0, -1):
+            self.levels[k] = Counter(g[1:] for g in self.levels[k + 1])
+        self.discounts, self.by_context = {}, {}
+        for k, level in self.levels.items():
+            n = [sum(v == i for v in level.values()) for i in (1, 2, 3, 4)]
+            y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+            out = []
+            for i in (1, 2, 3):
+                d = i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else (out[-1] if out else y)
+                out.append(min(max(d, 0.05), i - 0.05))
+            self.discounts[k] = out
+            self.by_context[k] = defaultdict(list)
+            for g, v in level.items():
+                self.by_context[k][g[:-1]].append(v)
+
+    def p(self, gram):
+        if not gram:
+            return 1 / 256
+        k = len(gram)
+        below, around = self.p(gram[1:]), self.by_context[k].get(gram[:-1])
+        if not around:
+            return below
+        off = lambda v: self.discounts[k][min(v, 3) - 1] if v else 0.0
+        n = self.levels[k].get(gram, 0)
+        return (n - off(n)) / sum(around) + sum(map(off, around)) / sum(around) * below
+
+    def nats(self, text):
+        b = bytes(self.order - 1) + text.encode()
+        return -sum(math.log(self.p(b[i : i + self.order])) for i in range(len(b) - self.order + 1))

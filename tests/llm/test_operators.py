@@ -359,7 +359,7 @@ def test_quality(spark, odd):
     assert len(out) == odd.count()
     assert all(not r.kept and r.perplexity is None for r in out if r.doc_id in (3, 4))
     nothing = quality.classify(spark, odd, some.limit(0)).collect()
-    assert all(r.kept == (r.n_chars > 0) for r in nothing)
+    assert all(r.kept == (r.n_bytes > 0) for r in nothing)
 
 
 def test_quality_small_language(spark):
@@ -376,25 +376,59 @@ def test_quality_small_language(spark):
     assert not out[200].kept and out[200].threshold < out[100].threshold
 
 
-def test_kneser_ney_sums_to_one():
-    """The table of a small model: every context's shares add up to one, and the
-    highest order has the discounted counts by hand."""
-    counts = Counter({(1 << 18) | (2 << 12) | (3 << 6) | 4: 3, (1 << 18) | (2 << 12) | (3 << 6) | 5: 1, (9 << 18) | (2 << 12) | (3 << 6) | 4: 2})
-    model, level = [], counts
-    for order in range(4, 0, -1):
-        disc = {1: 0.5, 2: 0.75}
-        total, spared = Counter(), Counter()
-        for g, n in level.items():
-            total[g >> 6] += n
-            spared[g >> 6] += disc.get(n, 0.9)
-        g = np.array(sorted(level))
-        share = np.array([(level[x] - disc.get(level[x], 0.9)) / total[x >> 6] for x in g.tolist()])
-        c = np.array(sorted(total))
-        model.append((g, share, c, np.array([spared[x] / total[x] for x in c.tolist()])))
-        level = Counter(x & ((1 << 6 * (order - 1)) - 1) for x in level)
-    p = np.exp(quality.table(model[::-1]).astype(float)).reshape(-1, 64)
-    assert p.sum(1) == pytest.approx(np.ones(len(p)), abs=1e-3)
-    assert p[(1 << 12) | (2 << 6) | 3, 4] > (3 - 0.9) / 4
+def _fold(spark, ids):
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    return {r.doc_id: r.f for r in df.select("doc_id", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(5)), F.lit(quality.FOLDS)).alias("f")).collect()}
+
+
+def _quality_table(real):
+    """Real texts, Japanese ones, random characters of its script, and odd rows."""
+    rng = random.Random(3)
+    rows = [(r.doc_id, r.text, r.lang) for r in real.where("length(text) < 3000").orderBy("doc_id").limit(40).collect()]
+    parts = ["これは", "日本語", "の", "文章", "です", "。", "学校", "で", "読む", "本", "を", "書いた", "、", "私は"]
+    rows += [(1000 + i, "".join(rng.choice(parts) for _ in range(60)), "ja") for i in range(30)]
+    rows += [(2000, "".join(chr(rng.randint(0xAC00, 0xD7A3)) for _ in range(80)) + "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(80)), "ja")]
+    rows += [(3000, "", "ja"), (3001, None, None), (None, "no id at all", "en"), (3002, "x", "en"), (3003, "a\x00b", "fr")]
+    return rows, [r[0] for r in rows if r[0] is not None and r[0] < 2000]
+
+
+def test_quality_against_plain_model(spark, real, monkeypatch):
+    """Perplexities, thresholds and what is kept, against one n-gram at a time."""
+    rows, good = _quality_table(real)
+    fold = _fold(spark, {r[0] for r in rows})
+    models = [brute.KneserNey([t or "" for i, t, _ in rows if i in good and fold[i] != f], quality.ORDER) for f in range(quality.FOLDS)]
+    nats = {i: models[fold[i]].nats(t or "") for i, t, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(2000, 0, 0), (3002, 1, 1)], "doc_id long, quality int, toxic int")
+    for step in (quality.STEP, 100):
+        monkeypatch.setattr(quality, "STEP", step)
+        monkeypatch.setattr(quality, "TOGETHER", 50 * step)
+        got = {r.doc_id: r for r in quality.classify(spark, docs, labels, quantile=0.9).collect()}
+        assert len(got) == len(rows)
+        size = {i: len((t or "").encode()) for i, t, _ in rows}
+        cuts = {}
+        for lang in {r[2] for r in rows}:
+            own = [i for i, _, x in rows if x == lang and i in good]
+            own = own or good
+            mean = sum(nats[i] for i in own) / sum(size[i] for i in own)
+            smooth = lambda i, m=mean: (nats[i] + quality.PRIOR * m) / (size[i] + quality.PRIOR)
+            cuts[lang] = sorted(map(smooth, own))[int(np.ceil(0.9 * len(own))) - 1]
+            for i in (r[0] for r in rows if r[2] == lang):
+                r = got[i]
+                assert (r.n_bytes, r.perplexity is None) == (size[i], size[i] == 0)
+                if size[i]:
+                    assert np.log(r.perplexity) == pytest.approx(smooth(i), abs=2 / quality.FINE), (i, lang, size[i], nats[i], mean, len(own))
+                    assert r.kept == (np.log(r.perplexity) < np.log(r.threshold))
+                assert r.kept or i not in own or smooth(i) > cuts[lang] - 0.01
+        assert all(np.log(got[i].threshold) == pytest.approx(cuts[lang], abs=4 / quality.FINE) for i, _, lang in rows if lang in ("en", "ja", "de"))
+        assert not got[2000].kept and not got[3000].kept and not got[3001].kept
+
+
+def test_kneser_ney_sums_to_one(real):
+    """The plain model's shares of all bytes add up to one after any context."""
+    model = brute.KneserNey([r.text for r in real.where("length(text) < 3000").limit(20).collect()], 4)
+    for context in (b"", b"\0\0\0", b"the", b"zqx", "é".encode()):
+        assert sum(model.p(context + bytes([b])) for b in range(256)) == pytest.approx(1)
 
 
 # -- all --------------------------------------------------------------------

@@ -6,7 +6,8 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder, ship
@@ -15,6 +16,8 @@ from ..session import shared_folder, ship
 SPACE = " \t\n\x0b\x0c\r"
 #: A key holding at least this share of the rows counts as hot; at most 1 / share such keys exist.
 HOT_SHARE = 1 / 200
+#: Bits of a filter of ids (at most 32 MB; a fuller one only lets more through).
+FILTER_BITS = 28
 
 
 class Scratch:
@@ -36,8 +39,20 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def write_bucketed(self, df: DataFrame, key: str, buckets: int, name: str = "t") -> DataFrame:
+        """As `write`, in files by bucket of the key: a join by the key leaves
+        this side where it is."""
+        path, table = f"{self.root}/{len(self.paths)}-{name}", f"wavelens_{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+        out = self.spark.table(table)
+        out._scratch_path, out._scratch_table = path, table
+        return out
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later step reads."""
+        if hasattr(df, "_scratch_table"):
+            self.spark.sql(f"DROP TABLE {df._scratch_table}")
         p = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -59,6 +74,25 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     return left.join(F.broadcast(hot), keys, "inner").unionByName(left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "inner"))
 
 
+def id_filter(spark: SparkSession, ids: DataFrame) -> tuple[Column, object, int]:
+    """For a scan that is to let through the rows of some doc_ids and few others:
+    the place of a row's doc_id in a bitmap, the bitmap as a broadcast of bounded
+    size, and its number of bits. ids: (doc_id), not null."""
+    bits = max(20, min(FILTER_BITS, int(np.ceil(np.log2(8 * max(1, ids.count()))))))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    number = ids.select((place + 1).alias("v"))
+    maps = number.groupBy(F.bitmap_bucket_number("v").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("m")).collect()
+    held = np.zeros((1 << bits) // 8, np.uint8)
+    for x in maps:
+        held[(x.b - 1) * 4096 : x.b * 4096] = np.frombuffer(x.m, np.uint8)
+    return place, spark.sparkContext.broadcast(held.tobytes()), bits
+
+
+def in_filter(bitmap, place: np.ndarray) -> np.ndarray:
+    bits = np.frombuffer(bitmap.value, np.uint8)
+    return (bits[place >> 3] >> (place & 7)) & 1 == 1
+
+
 def growing(df: DataFrame) -> DataFrame:
     """A side of a join that grows with the documents: joined by shuffle at every
     size, never broadcast because it happens to be small."""

@@ -26,15 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordkit
-from ._common import Scratch, growing, join_unique
+from ._common import FILTER_BITS, Scratch, growing, id_filter, in_filter, join_unique
 from .components import connected_components
 
 #: Words of a shingle, similarity of a link in percent, bands and coordinates of a band. A pair
 #: at exactly the limit is no candidate with a probability of (1 - 0.75^5)^48 = 2.2e-6.
 SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 48, 5
-#: Documents of a block of an unsettled group, and bits of the filter that tells a scan which
-#: documents have candidates (at most 32 MB; a fuller one only lets more documents through).
-BLOCK, FILTER_BITS = 2_000, 28
+#: Documents of a block of an unsettled group.
+BLOCK = 2_000
 _U = np.uint64
 _SEEDS = np.random.default_rng(7).integers(0, 1 << 64, 4096, dtype=_U)
 
@@ -95,10 +94,8 @@ def _sets(size: int, wanted):
     """Shingles of the documents whose place is set in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(wanted.value, np.uint8)
         for batch in batches:
-            place = batch.column("place").to_numpy()
-            batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7)) & 1 == 1))
+            batch = batch.filter(pa.array(in_filter(wanted, batch.column("place").to_numpy())))
             for part, texts in wordkit.slices(batch, wordkit.as_texts(batch.column("text"))):
                 w = wordkit.words(texts, lower=True)
                 sets = wordkit.shingles(w, wordkit.hashes(w), size)
@@ -110,14 +107,7 @@ def _sets(size: int, wanted):
 def _shingles_of(spark: SparkSession, src: DataFrame, need: DataFrame, size: int) -> DataFrame:
     """(doc_id, shingles) of the needed documents, and of few others: a filter of
     their hashed ids goes to the scan, so that no text is shuffled."""
-    bits = max(20, min(FILTER_BITS, int(np.ceil(np.log2(8 * max(1, need.count()))))))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
-    number = need.select((place + 1).alias("v"))
-    maps = number.groupBy(F.bitmap_bucket_number("v").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("m")).collect()
-    held = np.zeros((1 << bits) // 8, np.uint8)
-    for x in maps:
-        held[(x.b - 1) * 4096 : x.b * 4096] = np.frombuffer(x.m, np.uint8)
-    sent = spark.sparkContext.broadcast(held.tobytes())
+    place, sent, bits = id_filter(spark, need)
     found = src.where("doc_id is not null").withColumn("place", place).mapInArrow(_sets(size, sent), "doc_id long, shingles binary").where("length(shingles) > 0")
     return found.join(growing(need), "doc_id", "left_semi") if bits == FILTER_BITS else found
 
