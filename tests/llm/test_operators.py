@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wavelens.llm import ann, bitplane, bpe, langid, minhash, mixing, quality, wordkit
+from wavelens.llm import exact_dedup as exact_module
 from wavelens.llm._common import Scratch
 from wavelens.llm.bpe_codec import decode, encode_decode
 from wavelens.llm.components import connected_components
@@ -63,6 +64,31 @@ def test_exact_dedup_hot_blocks(spark):
     assert {(r.group_size, r["count"]) for r in got} == {(2000, 2000), (1, 1000)}
 
 
+def test_exact_dedup_long_and_extreme(spark):
+    """Texts of 256 blocks that share most of them, and the smallest doc_id."""
+    base = "".join(f"{i:08d}" for i in range(256 * 512))
+    rows = [(-(1 << 63), base), (5, base), (6, base[:-1] + "x"), (7, "y" + base[1:]), (None, base), ((1 << 63) - 1, "a b"), (-(1 << 63), "ab"), (3, "a b")]
+    rows += [(100 + i, base[: 4096 * 100] + f"{i % 3}") for i in range(40)]
+    got = exact_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[brute.normal(t)].append((-len(t), i is None, i))
+    for norm, members in groups.items():
+        own = [r for r in got if r.text_sha256 == sha(norm)]
+        assert {(r.keep_id, r.group_size, len(own)) for r in own} == {(min(members)[2], len(members), len(members))}
+
+
+def test_names_with_clashing_hashes(spark, monkeypatch):
+    """Three hashes for many contents: names are equal just where contents are."""
+    docs = spark.range(300).select(F.col("id").alias("row"), (F.col("id") % 40).cast("string").cast("binary").alias("block"))
+    few = lambda *k: F.pmod(F.xxhash64(*k), F.lit(3))
+    for most in (1000, 5):
+        monkeypatch.setattr(exact_module, "CLASHES", most)
+        names = {r.row: (r.h, r.r) for r in exact_module.name_keys(Scratch(spark, "t"), docs, ["block"], few).collect()}
+        assert len(names) == 300 and len(set(names.values())) == 40
+        assert all(names[i] == names[i % 40] for i in range(300))
+
+
 # -- 2 ----------------------------------------------------------------------
 @pytest.mark.parametrize("table", ["odd", "real"])
 def test_codec(spark, request, table, library):
@@ -159,13 +185,20 @@ def test_remove_repeats(spark, request, table):
     assert got == expected
 
 
-def test_remove_repeats_full_rows(spark):
-    """Copies of a whole row count as one document, in one slice or in several."""
-    text = " ".join(f"v{i}" for i in range(50))
-    docs = spark.createDataFrame([(1, text), (1, text), (2, "x " + text)], "doc_id long, text string")
-    for parts in (docs.coalesce(1), docs.repartition(3)):
-        got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in remove_repeats(spark, parts, with_text=True).collect())
-        assert got == [(1, 50, 0, text), (1, 50, 0, text), (2, 51, 50, "x")]
+@pytest.mark.parametrize("parts", [1, 4, 13])
+def test_remove_repeats_full_rows(spark, parts):
+    """Copies of a whole row count as one document, in one slice or in several,
+    and a null id is not the largest one."""
+    rows, last = [], (1 << 63) - 1
+    for n in (30, 300):
+        text = " ".join(f"v{n}.{i}" for i in range(n))
+        rows += [(n, text), (n, text), (n + 1, "x " + text), (last, text + " y"), (None, text + " y"), (None, text + " y")]
+    rows += [(last, " ".join(f"u{i}" for i in range(25))), (None, " ".join(f"u{i}" for i in range(25)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.coalesce(1) if parts == 1 else docs.repartition(parts)
+    got = Counter((r.doc_id, r.n_words, r.kept_text) for r in remove_repeats(spark, docs, with_text=True).collect())
+    want = brute.kept_words(rows)
+    assert got == Counter((d[0], len(d[1].split()), " ".join(want[d])) for d in rows)
 
 
 def test_common_passages_take_other_ways(spark, monkeypatch):

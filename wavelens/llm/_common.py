@@ -114,3 +114,8 @@ def prefix(df: DataFrame) -> str:
     while any(c.startswith(p) for c in have):
         p = "_" + p
     return p
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns: an order for rows that are alike in all else."""
+    return F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))

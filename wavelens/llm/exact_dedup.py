@@ -3,7 +3,8 @@
 Each normalised text is cut into fixed-size blocks. Blocks are sorted into
 integer names: a 64-bit hash and the rank of the content among the sorted
 distinct contents of that hash, so equal names mean equal blocks and the name
-doesn't depend on partitioning. Adjacent names are paired and named again the
+doesn't depend on partitioning. The least and the largest content of each hash
+tell the hashes that have several; all other contents are the first of theirs. Adjacent names are paired and named again the
 same way until each document has one name; with the number of blocks it is the
 document's identity, free of collisions."""
 
@@ -18,10 +19,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordkit
-from ._common import HOT_SHARE, Scratch, growing, join_unique, prefix
+from ._common import Scratch, growing, join_unique, prefix, row_hash
 
-#: Bytes of a block.
-BLOCK = 4096
+#: Bytes of a block, and contents of clashing hashes that are broadcast at most.
+BLOCK, CLASHES = 4096, 1000
 
 
 def _blocks(block: int):
@@ -51,21 +52,20 @@ def _blocks(block: int):
     return run
 
 
-def name_keys(df: DataFrame, keys: list[str], total: int) -> DataFrame:
+def name_keys(scratch: Scratch, df: DataFrame, keys: list[str], hashed=F.xxhash64) -> DataFrame:
     """df with (h, r) instead of `keys`: an integer name that two rows share if
-    and only if their keys are equal. A hash with HOT_SHARE of the rows or more
-    is pre-aggregated to its few distinct keys, which are sorted apart and
-    broadcast; the others are sorted where the shuffle brings them together."""
-    df = df.withColumn("h", F.xxhash64(*keys))
-    hot = [x.h for x in df.groupBy("h").count().where(F.col("count") >= max(1000, total * HOT_SHARE)).select("h").collect()]  # at most 1 / HOT_SHARE
-    order = Window.partitionBy("h").orderBy(*keys)
-    cold = df.where(~F.col("h").isin(hot)) if hot else df
-    named = cold.withColumn("r", F.dense_rank().over(order)).drop(*keys)
-    if hot:
-        names = df.where(F.col("h").isin(hot)).select("h", *keys).distinct().withColumn("r", F.row_number().over(order))
-        many = df.where(F.col("h").isin(hot)).join(F.broadcast(names), ["h", *keys], "inner").drop(*keys)
-        named = named.unionByName(many)
-    return named
+    and only if their keys are equal. Whatever a key's share of the rows, it is
+    one entry of a partial aggregate. The contents of hashes that have several
+    (about n^2 / 2^65 of n) are joined back, by broadcast up to CLASHES of them."""
+    df = df.withColumn("h", hashed(*keys))
+    content = F.struct(*keys)
+    clash = scratch.write(df.groupBy("h").agg(F.min(content).alias("a"), F.max(content).alias("b")).where("a <> b").select("h"), "clash")
+    if not clash.head(1):
+        return df.withColumn("r", F.lit(1)).drop(*keys)
+    rank = F.row_number().over(Window.partitionBy("h").orderBy(*keys))
+    names = scratch.write(df.join(growing(clash), "h", "left_semi").select("h", *keys).distinct().withColumn("r", rank), "names")
+    names = F.broadcast(names) if names.limit(CLASHES + 1).count() <= CLASHES else growing(names)
+    return df.join(names, ["h", *keys], "left").withColumn("r", F.coalesce("r", F.lit(1))).drop(*keys)
 
 
 def identities(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> tuple[DataFrame, Scratch]:
@@ -76,8 +76,7 @@ def identities(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
     blocks = src.mapInArrow(_blocks(block), "doc_id long, n_cp long, text_sha256 string, n_blocks long, pos long, block binary")
     # Rows of a document are neighbours of one task: the number of its first row, less the position, is its own.
     blocks = blocks.withColumn("row", F.monotonically_increasing_id() - F.col("pos"))
-    total = src.count()
-    level = scratch.write(name_keys(blocks, ["block"], total), "level0")
+    level = scratch.write(name_keys(scratch, blocks, ["block"]), "level0")
     about = level.where("pos = 0").select("row", "doc_id", "n_cp", "text_sha256", "n_blocks")
     found = [level.where("n_blocks = 1").select("row", "h", "r")]
     most = level.agg(F.max("n_blocks")).first()[0] or 1
@@ -87,7 +86,7 @@ def identities(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", tex
         pairs = names.groupBy("row", F.floor(F.col("pos") / 2).cast("long").alias("pos"), "n_blocks", F.floor((F.col("left") + 1) / 2).cast("long").alias("left")).agg(
             *(F.max(F.when(even, F.col(c))).alias(f"{c}a") for c in "hr"), *(F.coalesce(F.max(F.when(~even, F.col(c))), F.lit(-1)).alias(f"{c}b") for c in "hr")
         )
-        names = scratch.write(name_keys(pairs, ["ha", "ra", "hb", "rb"], total), "level")
+        names = scratch.write(name_keys(scratch, pairs, ["ha", "ra", "hb", "rb"]), "level")
         found.append(names.where("`left` = 1").select("row", "h", "r"))
         names, size = names.where("`left` > 1"), (size + 1) // 2
     named = found[0]
@@ -107,16 +106,19 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     rows, scratch = identities(spark, docs, id_col, text_col, block)
     rows = scratch.write(rows, "rows")
     key = ["n_blocks", "h", "r"]
-    best = F.max(F.struct("n_cp", (-F.col("doc_id")).alias("minus"), (-F.col("row")).alias("last")))
+    best = F.min(F.struct((-F.col("n_cp")).alias("minus"), F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
     classes = scratch.write(rows.groupBy(*key).agg(best.alias("best"), F.count("*").alias("group_size")), "classes")
-    classes = classes.select(*key, (-F.col("best.minus")).alias("keep_id"), (-F.col("best.last")).alias("keep_row"), "group_size", F.col("group_size").alias("weight"))
+    classes = classes.select(*key, F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size", F.col("group_size").alias("weight"))
     out = join_unique(rows, classes, key, "weight", rows.count())
     return out.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "row")
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with the columns of docs. Rows are matched by
-    doc_id and, where that is repeated, by their text: of equal rows one stays."""
+    doc_id and, where that is repeated or null, by their text: of rows with equal
+    id and text one stays, the first by a hash of all its columns. Null and empty
+    texts are equal; an empty table stays empty; clashing names of other columns
+    are kept apart."""
     p = prefix(docs)
     own = [f"{p}{c}" for c in ("id", "sha", "kept", "n", "texts", "any", "copies", "own", "pick")]
     i, sha, kept, n, texts, some, copies, norm, pick = own
@@ -132,5 +134,5 @@ def deduplicated(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     again = docs.join(single.where(~once & F.col(some)), same, "left_semi")
     again = again.withColumn(norm, F.sha2(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", ""), 256))
     again = again.join(found.where(F.col(kept)), same & (F.col(norm) == F.col(sha)), "left_semi")
-    again = again.withColumn(pick, F.row_number().over(Window.partitionBy(id_col, norm).orderBy(F.length(text_col).desc_nulls_last()))).where(F.col(pick) == 1)
+    again = again.withColumn(pick, F.row_number().over(Window.partitionBy(id_col, norm).orderBy(F.length(text_col).desc_nulls_last(), row_hash(docs)))).where(F.col(pick) == 1)
     return plain.unionByName(again.select(*docs.columns))

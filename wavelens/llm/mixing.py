@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, growing, join_unique, partitions, prefix
+from ._common import Scratch, growing, join_unique, partitions, prefix, row_hash
 
 #: White space (fixed values) as a Java pattern, and the most often that a document is taken.
 WORD_GAP, REPEATS = "[\\x20\\x09-\\x0D]+", 3
@@ -133,7 +133,7 @@ def training_order(spark: SparkSession, docs: DataFrame, curriculum: Curriculum
     if docs.groupBy(F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("x"), F.col(source_col).cast("string").alias("s")).count().where("count > 1").head(1):
         # Full repeats of a row are alike: they are numbered on both sides.
         plan = plan.withColumn(f"{p}m", F.row_number().over(Window.partitionBy(*key).orderBy(f"{p}start")))
-        own = own.withColumn(f"{p}n", F.row_number().over(Window.partitionBy(f"{p}i", f"{p}x", f"{p}s").orderBy(F.lit(0))))
+        own = own.withColumn(f"{p}n", F.row_number().over(Window.partitionBy(f"{p}i", f"{p}x", f"{p}s").orderBy(row_hash(docs))))
         same = same & (col("n") == col("m"))
     out = own.join(growing(plan), same).withColumn(f"{p}copy", F.explode(F.sequence(F.lit(1), col("copies").cast("int"))))
     if trim:

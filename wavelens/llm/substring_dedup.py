@@ -281,7 +281,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     scratch = Scratch(spark, "repeats")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    key = [F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("text").alias("th")]
+    # Null ids come after the largest one: their text hashes have a bit that others lack.
+    th = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.when(F.col("doc_id").isNull(), 1 << 62).otherwise(0)
+    key = [F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), th.alias("th")]
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(spark), -(-3 * size // BUCKET))
     common = spark.sparkContext.broadcast(common_grams(src, gram))
