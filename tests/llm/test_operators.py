@@ -116,6 +116,13 @@ def test_tree_concatenation(library):
             assert codec.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_other_vocabularies_are_refused(spark, odd):
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.codec("word_bpe_49k.json")
+    with pytest.raises(ValueError, match="byte-level"):
+        encode_decode(spark, odd, path="word_bpe_49k.json")
+
+
 def test_batches_of_pieces(library):
     rng, codec = random.Random(5), bpe.codec("byte_bpe_50k.json")
     parts = [*"ab1 \n\t\r\x0b\x1c\x85é!'", "  ", "\n\n", "<|endoftext|>", "日本", "'ll", " word", " foo\nbar"]
@@ -226,6 +233,7 @@ def test_mix(spark, request, table):
     docs = request.getfixturevalue(table)
     got, again = mixing.mix(spark, docs).collect(), mixing.mix(spark, docs.repartition(5)).collect()
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.size, r.taken, r.position or 0)
+    assert {(r.doc_id, r.turn) for r in got} == {(r.doc_id, r.turn) for r in again}
     assert [key(r) for r in sorted(got, key=key)] == [key(r) for r in sorted(again, key=key)]
     assert len(got) == docs.count()
     sizes = defaultdict(int)
@@ -243,6 +251,9 @@ def test_mix(spark, request, table):
             target[s] = 3 * sizes[s]
             left -= target[s]
         free -= over
+    assert sorted(r.turn for r in got) == list(range(1, len(got) + 1))
+    ordered = sorted(got, key=lambda r: r.turn)
+    assert [r.position for r in ordered] == sorted((r.position for r in got), key=lambda x: (x is None, x or 0))
     taken = defaultdict(int)
     for r in got:
         assert r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source]
@@ -256,8 +267,13 @@ def test_training_order(spark, real, none):
     plan = {r.doc_id: r for r in mixing.mix(spark, real).collect()}
     rows = mixing.training_order(spark, real).collect()
     assert Counter(r.doc_id for r in rows) == Counter({i: r.copies for i, r in plan.items() if r.copies})
+    texts = {r.doc_id: r.text for r in real.collect()}
+    assert all(r.text == texts[r.doc_id] for r in rows)
+    first = {r.doc_id: k for k, r in reversed(list(enumerate(rows)))}
+    at = [plan[i].position for i in sorted(first, key=first.get)]
+    assert at == sorted(at)
     words = defaultdict(int)
-    for r in rows:
+    for r in mixing.training_order(spark, real, trim=True).collect():
         words[r.doc_id] += len(brute.WORD.findall(r.text))
     assert words == {i: r.taken for i, r in plan.items() if r.taken}
     assert mixing.training_order(spark, none).count() == 0
@@ -288,6 +304,60 @@ def test_language(spark, real, odd):
     assert {r.lang_pred for r in out} <= learned | {"und"}
 
 
+def plain_words(text):
+    return "".join(c if c.isalpha() else " " for c in text.lower()).split()
+
+
+def plain_grams(word, n):
+    s = word if n == 1 else "^" + word + "$"
+    return [s[i : i + n] for i in range(len(s) - n + 1)]
+
+
+def test_language_against_plain_model(spark, odd):
+    """Fit and prediction, one word and one n-gram at a time; equal scores go to the first language."""
+    extra = [(200 + i, t, lang, "s") for i, (t, lang) in enumerate([("½ ² Ⅷ", "en"), ("½ x ² Ⅷ٣", "de"), ("der die das haus", "de"), ("das haus am see", "de"), ("le chat est noir", "fr"), ("la maison noire", "fr"), ("hausboot", None), ("noirceur hauser", "xx"), ("хорошо", "ru"), ("хор", None)])]
+    rows = [(r.doc_id, r.text, r.lang) for r in odd.collect()] + [r[:3] for r in extra]
+    docs = odd.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([r[:3] for r in extra], "doc_id long, text string, lang string"))
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    learn = [(t, lang) for i, t, lang in rows if i is not None and not held(i) and t is not None and lang is not None]
+    langs = sorted({lang for _, lang in learn})
+    counts = [defaultdict(Counter) for _ in range(6)]
+    for t, lang in learn:
+        for w in plain_words(t):
+            counts[0][w][lang] += 1
+            for n in range(1, 6):
+                for g in plain_grams(w, n):
+                    counts[n][g][lang] += 1
+    totals = [Counter() for _ in counts]
+    for table, total in zip(counts, totals, strict=True):
+        for by in table.values():
+            total.update(by)
+
+    def logs(n, item):
+        return np.array([np.log((counts[n][item][x] + 0.5) / (max(1, totals[n][x]) + 0.5 * len(counts[n]))) for x in langs])
+
+    def worth(word):
+        if word in counts[0]:
+            return logs(0, word)
+        for n in range(5, 0, -1):
+            known = [logs(n, g) for g in plain_grams(word, n) if g in counts[n]]
+            if known:
+                return np.mean(known, axis=0)
+        return np.zeros(len(langs))
+
+    want = Counter()
+    for i, t, _ in rows:
+        words = plain_words(t or "")
+        if not words:
+            want[i, held(i), "und", 0.0] += 1
+            continue
+        total = sum(map(worth, words))
+        want[i, held(i), langs[int(np.argmax(np.round(total, 4)))], round(float(1 / np.exp(total - total.max()).sum()), 2)] += 1
+    got = Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 2)) for r in langid.identify(spark, docs).collect())
+    assert got == want
+    assert ("und", 0.0) in {(r[2], r[3]) for r in got if r[0] == 200}
+
+
 def test_language_backs_off():
     model = langid.Model(["a", "b"], [("a", 0, "known", 10), ("b", 5, "^long", 5), ("a", 2, "zz", 5), ("b", 1, "q", 5)], {})
     assert model.backed_off("longer").argmax() == 1

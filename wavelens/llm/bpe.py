@@ -35,8 +35,18 @@ def _byte_letters() -> dict[str, int]:
     return letters
 
 
+def _checked(spec: dict) -> None:
+    """Refuse files whose texts are changed or split in another way than here."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    right = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    right = right and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    right = right and not any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in spec["added_tokens"])
+    if not right:
+        raise ValueError("only plain byte-level BPE files, split by the ByteLevel pattern, are supported")
+
+
 class Codec:
-    """One vocabulary file (byte-level BPE in the tokenizers format)."""
+    """One vocabulary file (plain byte-level BPE in the tokenizers format; others are refused)."""
 
     def __init__(self, path: str, leaf: int = LEAF):
         import tiktoken
@@ -44,6 +54,7 @@ class Codec:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _checked(spec)
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()

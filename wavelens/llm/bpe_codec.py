@@ -58,8 +58,10 @@ def encode_decode(spark: SparkSession, docs: DataFrame, path: str = TOKENIZER, o
 
     Null counts as empty (no ids, an empty decoded text). Rows are independent,
     so repeated rows give repeated results and an empty table an empty result;
-    other columns are not read. path: a file of public_tokenizers, or one that
-    every machine has. Nothing is shuffled."""
+    other columns are not read. path: a plain byte-level BPE file (others raise
+    ValueError) of public_tokenizers, or one that every machine has. Nothing is
+    shuffled."""
+    bpe.codec(path)
     ship(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(_codec(path, list(outputs)), "doc_id long, " + ", ".join(f"{c} {_TYPES[c]}" for c in outputs))
@@ -76,7 +78,9 @@ def _decoder(path: str):
 
 
 def decode(spark: SparkSession, encoded: DataFrame, path: str = TOKENIZER, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id and the text that its ids decode to (null ids: empty)."""
+    """doc_id and the text that its ids decode to (null and empty ids: empty). An
+    id that the file doesn't have raises KeyError. Rows are independent, an empty
+    table gives an empty result, other columns are not read."""
     ship(spark)
     src = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return src.mapInArrow(_decoder(path), "doc_id long, decoded string")

@@ -2,27 +2,31 @@
 
 A word that the model knows adds its log frequency in each language. For any
 other word the longest character n-grams that the model knows anything of are
-used, then ever shorter ones down to single letters."""
+used, then ever shorter ones down to single letters. The model is fitted on a
+sample of bounded size and keeps every word and n-gram of it."""
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordkit
 from ._common import Scratch, ship
 
-#: Documents of each language that the model is fitted on, about (a hashed sample), the words and
-#: n-grams of each size that it keeps of all languages together, and the longest n-gram.
-FIT_DOCS, WORDS, GRAMS, LONGEST = 12_000, 240_000, 60_000, 5
+#: Bytes of text that the model is fitted on, about: a hashed sample of the documents, of each language the
+#: same share of it. The longest n-gram.
+FIT_BYTES, LONGEST = 24 << 20, 5
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Characters of words that are no letters: numbers other than decimal digits.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 #: Words outside the model that a worker remembers.
 _REMEMBERED = 300_000
 
@@ -84,26 +88,23 @@ class Model:
         return np.zeros(len(self.langs), np.float32)
 
 
-def fit(spark: SparkSession, rows: DataFrame, fit_docs: int = FIT_DOCS) -> Model:
-    """The model of rows (doc_id, text, lang). A language with more than
-    `fit_docs` documents is sampled by a hash of doc_id to about that many. The
-    model's size is bounded by WORDS and GRAMS, shared by the languages; those of
-    the highest counts stay (ties by code point)."""
+def fit(spark: SparkSession, rows: DataFrame, fit_bytes: int = FIT_BYTES) -> Model:
+    """The model of rows (doc_id, text, lang). Languages share `fit_bytes` of text
+    equally; one with more is sampled by a hash of doc_id to about its share, one
+    with less is taken whole. Every word and n-gram of the sample is kept, so the
+    model's size is bounded by fit_bytes, however many rows and languages."""
     scratch = Scratch(spark, "lang")
-    sizes = {x.lang: x.n for x in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {x.lang: x.n or 0 for x in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
     if not sizes:
         return Model([], [], {})
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, fit_docs / n))])
+    each = fit_bytes / len(sizes)
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / max(1, n)))])
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     counts = chosen.select("lang", "text").mapInArrow(_counts, "lang string, size int, item string, n long")
     counts = scratch.write(counts.groupBy("lang", "size", "item").agg(F.sum("n").alias("n")), "counts")
     totals = {(x.lang, x["size"]): x.n for x in counts.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(sizes)
-    rank = F.row_number().over(Window.partitionBy("lang", "size").orderBy(F.desc("n"), "item"))
-    most = F.when(F.col("size") == 0, max(1, WORDS // len(langs))).otherwise(max(1, GRAMS // len(langs)))
-    kept = counts.where("n > 1 or size = 1").withColumn("rank", rank).where(F.col("rank") <= F.lit(max(WORDS, GRAMS) // len(langs) + 1)).where(F.col("rank") <= most)
-    rows_kept = kept.select("lang", "size", "item", "n").orderBy("size", "item", "lang").toPandas()
-    return Model(langs, list(rows_kept.itertuples(index=False, name=None)), totals)
+    found = counts.select("lang", "size", "item", "n").toArrow()
+    return Model(sorted(sizes), list(zip(*(found.column(c).to_pylist() for c in found.column_names), strict=True)), totals)
 
 
 def _predicted(model):

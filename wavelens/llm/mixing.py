@@ -18,7 +18,7 @@ from ._common import Scratch, growing, join_unique, partitions, prefix, row_hash
 #: White space (fixed values) as a Java pattern, and the most often that a document is taken.
 WORD_GAP, REPEATS = "[\\x20\\x09-\\x0D]+", 3
 #: Documents of a source in one stretch of its demand axis, about.
-STRETCH = 20_000
+STRETCH = 2_000
 
 
 @dataclass(frozen=True)
@@ -33,9 +33,10 @@ class Curriculum:
     seed: int = 11
 
 
-def _order(doc_id: Column, seed: int) -> Column:
-    """A 32-bit hash of (doc_id, seed): the place of a document in its source."""
-    text = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}"))
+def _order(doc_id: Column, no_id: Column, seed: int) -> Column:
+    """A 32-bit hash of (doc_id, or no_id where that is null, and seed): the place
+    of a document in its source."""
+    text = F.concat(F.coalesce(doc_id.cast("string"), no_id.cast("string")), F.lit(f":{seed}"))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
@@ -70,11 +71,12 @@ def source_targets(sizes: DataFrame, curriculum: Curriculum = Curriculum()) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, curriculum: Curriculum = Curriculum(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: doc_id, size (words; null text: 0), source,
-    source_size, target (of its source), taken (words that the mix takes,
-    repeats counted), copies (times that it starts), last_words (words of its
-    last copy) and position (training time from 0 to 1 at which its first copy
-    starts, null if none does).
+    """One row per input row, range-sorted by training position: doc_id, size
+    (words; null text: 0), source, source_size, target (of its source), taken
+    (words that the mix takes, repeats counted), copies (times that it starts),
+    last_words (words of its last copy), position (training time from 0 to 1 at
+    which its first copy starts, null if none does) and turn (from 1, place in
+    the order of position, hash and doc_id; documents that are not taken come last).
 
     A source's documents follow each other in an order by seeded hash (then
     doc_id, then text hash; full repeats of a row in any order, as they are
@@ -90,7 +92,7 @@ def mix(spark: SparkSession, docs: DataFrame, curriculum: Curriculum = Curriculu
     inner = F.regexp_replace(text, f"^{WORD_GAP}|{WORD_GAP}$", "")
     size = F.when(inner == "", 0).otherwise(F.size(F.split(inner, WORD_GAP))).cast("long")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("h2"))
-    src = scratch.write(src.withColumn("h", _order(F.col("doc_id"), curriculum.seed)), "sizes")
+    src = scratch.write(src.withColumn("h", _order(F.col("doc_id"), F.col("h2"), curriculum.seed)), "sizes")
     targets = scratch.write(source_targets(src, curriculum), "targets")
     total = src.count()
     stretches = max(1, min(1 << 20, -(-total // STRETCH)))
@@ -113,14 +115,36 @@ def mix(spark: SparkSession, docs: DataFrame, curriculum: Curriculum = Curriculu
     copies = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("rounds") + (F.col("rest") > 0).cast("long")).cast("long")
     last = F.when(F.col("rest") > 0, F.col("rest")).when(F.col("rounds") > 0, F.col("size")).otherwise(0)
     share = F.col("start") / F.greatest(F.col("budget"), F.lit(1))
-    axis = ["slope", "start", "budget"]
-    return placed.select("doc_id", "size", "source", "source_size", "target", "taken", copies.alias("copies"), last.cast("long").alias("last_words"), F.when(F.col("taken") > 0, _position(share, F.col("slope"))).alias("position"), *axis, "h2")
-
-
-def training_order(spark: SparkSession, docs: DataFrame, curriculum: Curriculum = Curriculum(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", trim: bool = True) -> DataFrame:
+    placed = placed.withColumn("position", F.when(F.col("taken") > 0, _position(share, F.col("slope"))))
+    placed = placed.select("doc_id", "size", "source", "source_size", "target", "taken", copies.alias("copies"), last.cast("long").alias("last_words"), "position", "slope", "start", "budget", "h", "h2")
+    return _in_turn(scratch, placed)
+
+
+def _in_turn(scratch: Scratch, placed: DataFrame) -> DataFrame:
+    """The rows in training order, numbered. Equal positions go on by hash, which
+    spreads the documents that are not taken (they have no position)."""
+    spark = scratch.spark
+    order = [F.col("position").asc_nulls_last(), F.col("h"), F.col("doc_id").asc_nulls_last(), F.col("h2")]
+    parts = placed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    # The partition is in the upper bits of this number, the place in it in the lower 33.
+    parts = scratch.write(parts.withColumn("at", F.monotonically_increasing_id()), "order")
+    part = F.shiftright("at", 33).alias("part")
+    sizes = parts.groupBy(part).agg(F.count("*").alias("n"))  # as many as partitions
+    bases = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    turn = F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1) + 1
+    return parts.withColumn("part", part).join(F.broadcast(bases), "part").withColumn("turn", turn).drop("at", "part", "base")
+
+
+def training_order(spark: SparkSession, docs: DataFrame, curriculum: Curriculum = Curriculum(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", trim: bool = False) -> DataFrame:
     """The documents that the mix takes, one row for each copy, with the columns
-    of docs, range-sorted by training position. trim: a copy that ends at the
-    source's budget has the words up to there only."""
+    of docs, range-sorted by training position. Texts are whole, so a source goes
+    over its target by less than its last document; trim: a copy that ends at the
+    budget has the words up to there only.
+
+    Null, empty and blank texts have no words and are not taken. Null sources are
+    a source of their own, null ids documents like others. Rows alike in id, text
+    and source are copies of their own, numbered by a hash of all columns. An
+    empty table gives an empty result; other columns stay, whatever their names."""
     p = prefix(docs)
     mine = {c: f"{p}{c}" for c in ("doc_id", "h2", "source", "copies", "last_words", "size", "source_size", "slope", "start", "budget")}
     col = lambda c: F.col(f"{p}{c}")

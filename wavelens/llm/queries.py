@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._common import read_table
 from .ann import nearest
@@ -38,7 +39,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark, read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(spark, read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"), "turn")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,11 +105,12 @@ ORACLE: dict[str, str] = {
         s AS (SELECT source, sum(size)::BIGINT AS z, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
         o AS (SELECT *, sum(z) OVER () - coalesce(sum(3 * z) OVER a, 0) AS ls, sum(w) OVER () - coalesce(sum(w) OVER a, 0) AS lw FROM s WINDOW a AS (ORDER BY 3 * z / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         c AS (SELECT *, 3 * z * lw <= ls * w AS stopped FROM o),
-        t AS (SELECT source, z, CASE WHEN stopped THEN (3 * z)::DOUBLE ELSE w * (sum(z) OVER () - coalesce(sum(3 * z) FILTER (stopped) OVER (), 0))::DOUBLE / (sum(w) FILTER (NOT stopped) OVER ())::DOUBLE END AS target FROM c),
-        p AS (SELECT doc_id, size, z, target, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id) - size AS start, least(floor(target + 0.5)::BIGINT, 3 * z) AS budget FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size::BIGINT AS size, z AS source_size, target,
-               CASE WHEN z = 0 THEN 0 ELSE (budget // z * size + least(size, greatest(0, budget - budget // z * z - start))) END::BIGINT AS taken
-        FROM p""",
+        t AS (SELECT source, z, [0.0::DOUBLE, 0.5::DOUBLE, -0.5::DOUBLE][w] AS slope, CASE WHEN stopped THEN (3 * z)::DOUBLE ELSE w * (sum(z) OVER () - coalesce(sum(3 * z) FILTER (stopped) OVER (), 0))::DOUBLE / (sum(w) FILTER (NOT stopped) OVER ())::DOUBLE END AS target FROM c),
+        p AS (SELECT doc_id, h, size, z, slope, target, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id) - size AS start, least(floor(target + 0.5)::BIGINT, 3 * z) AS budget FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        q AS (SELECT *, CASE WHEN z = 0 THEN 0 ELSE (budget // z * size + least(size, greatest(0, budget - budget // z * z - start))) END::BIGINT AS taken, start::DOUBLE / greatest(budget, 1)::DOUBLE AS share FROM p),
+        r AS (SELECT *, CASE WHEN taken > 0 THEN CASE WHEN slope = 0 THEN share ELSE 2 * share / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * share)) END END AS pt FROM q)
+        SELECT doc_id, size::BIGINT AS size, z AS source_size, target, taken, round(pt, 9) AS position, row_number() OVER (ORDER BY pt NULLS LAST, h, doc_id) AS turn
+        FROM r""",
     "op9_nearest_neighbours": """
         WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
         p AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id),
