@@ -128,8 +128,8 @@ def discounts(have: dict[int, int]) -> tuple[float, float, float]:
 
 @dataclass
 class Model:
-    """orders: for 1 to ORDER (fold, gram, context, p, weight), the interpolated
-    probability of the last byte after the context and the context's back-off
+    """orders: for 1 to ORDER (fold, gram, p, weight), the interpolated probability
+    of the last byte after the context (the others) and the context's back-off
     weight, as written tables; low: p of all pairs of bytes, by fold; splits: in
     how many parts the entries of a two-byte context are; buckets of all."""
 
@@ -149,6 +149,7 @@ def train(spark: SparkSession, trusted: DataFrame, scratch: Scratch) -> Model:
     own = trusted.select("fold", "text").mapInArrow(_counted, "own int, gram long, n long")
     others = F.explode(F.filter(F.array(*(F.lit(f) for f in range(FOLDS))), lambda f: f != F.col("own"))).alias("fold")
     levels = [scratch.write(own.select(others, "gram", "n").groupBy("fold", "gram").agg(F.sum("n").alias("n")), "counts")]
+    scratch.release()
     for order in range(ORDER - 1, 0, -1):
         # Lower orders count the different bytes before an n-gram.
         lower = F.col("gram").bitwiseAND(_mask(order)).alias("gram")
@@ -170,7 +171,9 @@ def train(spark: SparkSession, trusted: DataFrame, scratch: Scratch) -> Model:
         else:
             below = orders[-1].select("fold", F.col("gram").alias("lower"), F.col("p").alias("below"))
             p = shares.withColumn("lower", F.col("gram").bitwiseAND(_mask(order - 1))).join(growing(below), ["fold", "lower"])
-        orders.append(scratch.write(p.select("fold", "gram", "context", (F.col("share") + F.col("weight") * F.col("below")).alias("p"), "weight"), "order"))
+        orders.append(scratch.write(p.select("fold", "gram", (F.col("share") + F.col("weight") * F.col("below")).cast("float").alias("p"), F.col("weight").cast("float").alias("weight")), "order"))
+    for level in levels:
+        scratch.drop(level)
     # Bytes alone and pairs of bytes are 256 and 256 * 256 a fold at most.
     one, alone = np.full((FOLDS, 256), 1 / 256), orders[0].collect()
     for x in alone:
@@ -179,11 +182,11 @@ def train(spark: SparkSession, trusted: DataFrame, scratch: Scratch) -> Model:
         one[x.fold, x.gram] = x.p
     low, pairs = np.repeat(one[:, None, :], 256, 1), orders[1].collect()
     for x in pairs:
-        low[x.fold, x.context] = x.weight * one[x.fold]
+        low[x.fold, x.gram >> 8] = x.weight * one[x.fold]
     for x in pairs:
-        low[x.fold, x.context, x.gram & 255] = x.p
+        low[x.fold, x.gram >> 8, x.gram & 255] = x.p
     sizes = np.zeros(_PAIRS, np.int64)
-    by_pair = _united([df.select(F.col("context").bitwiseAND(_PAIRS - 1).alias("pair")) for df in orders[3:]]).groupBy("pair").count()
+    by_pair = _united([df.select(F.shiftright("gram", 8).bitwiseAND(_PAIRS - 1).alias("pair")) for df in orders[3:]]).groupBy("pair").count()
     for x in by_pair.collect():  # 256 * 256 at most
         sizes[x.pair] = x["count"]
     buckets = max(partitions(spark), -(-2 * int(sizes.sum()) // ENTRIES))
@@ -224,11 +227,12 @@ def _shards(order: int, splits: np.ndarray, buckets: int):
         held, n = [], 0
 
         def given() -> pa.RecordBatch:
-            fold, gram, context, p, weight = (np.concatenate(c) for c in zip(*held, strict=True))
+            fold, gram, p, weight = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
+            context = gram >> 8
             contexts, first = np.unique(_entry(order, True, fold, context), return_index=True)
             keys = np.concatenate([_entry(order, False, fold, gram), contexts])
-            values = np.concatenate([p, weight[first]]).astype("<f4")
+            values = np.concatenate([p, weight[first]])
             context = np.concatenate([context, context[first]])
             pair, before = context & (_PAIRS - 1), context >> 16 & 255
             if order == 3:
@@ -243,7 +247,7 @@ def _shards(order: int, splits: np.ndarray, buckets: int):
 
         for batch in batches:
             if len(batch):
-                held.append(tuple(batch.column(c).to_numpy() for c in ("fold", "gram", "context", "p", "weight")))
+                held.append(tuple(batch.column(c).to_numpy() for c in ("fold", "gram", "p", "weight")))
                 n += len(batch)
             if n > HELD:
                 yield given()
@@ -327,22 +331,30 @@ def _places(keys: np.ndarray, splits: np.ndarray, buckets: int) -> np.ndarray:
     return _bucket(gram >> 8 & (_PAIRS - 1), gram >> 24 & 255, splits, buckets)
 
 
-def _blocks(model):
-    """A block: its documents, compressed, and its distinct n-grams by bucket."""
-    pieces = pa.list_(pa.struct([("bucket", pa.int32()), ("blob", pa.binary())]))
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents in blocks, compressed."""
+    for batch in batches:
+        for part, texts in wordkit.slices(batch, wordkit.as_texts(batch.column("text")), TOGETHER):
+            data, at = wordkit.raw(texts)
+            ids, langs = part.column("doc_id"), part.column("lang")
+            known = [c.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8) for c in (ids, langs)]
+            names, ends = wordkit.raw(wordkit.as_texts(langs))
+            docs = pack([ids.fill_null(0).to_numpy(), *known, part.column("fold").to_numpy().astype(np.uint8), names, np.diff(ends).astype(np.int32), part.column("h").to_numpy(), np.diff(at), data])
+            yield pa.record_batch([pa.array([docs], pa.binary())], names=["docs"])
+
+
+def _pieces(model):
+    """A block's distinct n-grams by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splits, buckets = model.value
         for batch in batches:
-            for part, texts in wordkit.slices(batch, wordkit.as_texts(batch.column("text")), TOGETHER):
-                data, at = wordkit.raw(texts)
-                ids, folds, langs = part.column("doc_id"), part.column("fold").to_numpy(), part.column("lang")
-                keys = _distinct(data, at, folds)
-                sent = [{"bucket": b, "blob": pack([np.diff(k, prepend=0)])} for b, (k,) in _by_bucket(_places(keys, splits, buckets), keys)]
-                known = [c.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8) for c in (ids, langs)]
-                names, ends = wordkit.raw(wordkit.as_texts(langs))
-                docs = pack([ids.fill_null(0).to_numpy(), *known, folds.astype(np.uint8), names, np.diff(ends).astype(np.int32), part.column("h").to_numpy(), np.diff(at), data])
-                yield pa.record_batch([pa.array([docs], pa.binary()), pa.array([sent], pieces)], names=["docs", "pieces"])
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("docs"), strict=True):
+                _, _, _, folds, _, _, _, lengths, data = unpack(blob.as_py())
+                keys = _distinct(data, np.concatenate([[0], np.cumsum(lengths)]), folds)
+                rows = [(b, block, pack([np.diff(k, prepend=0)])) for b, (k,) in _by_bucket(_places(keys, splits, buckets), keys)]
+                if rows:
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _LOOKUPS, strict=True)], schema=_LOOKUPS)
 
     return run
 
@@ -375,9 +387,9 @@ def scores(spark: SparkSession, src: DataFrame, model: Model, scratch: Scratch)
     table is bucketed by block, and what is shuffled are n-grams and values."""
     sent = spark.sparkContext.broadcast((model.splits, model.buckets))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = src.mapInArrow(_blocks(sent), "docs binary, pieces array<struct<bucket:int,blob:binary>>").withColumn("block", F.monotonically_increasing_id())
+    blocks = src.mapInArrow(_blocks, "docs binary").withColumn("block", F.monotonically_increasing_id())
     blocks = scratch.write_bucketed(blocks, "block", max(partitions(spark), -(-size // TOGETHER)), "blocks")
-    lookups = blocks.select("block", F.explode("pieces").alias("p")).select("p.bucket", "block", "p.blob")
+    lookups = blocks.select("block", "docs").mapInArrow(_pieces(sent), "bucket int, block long, blob binary")
     for order, df in enumerate(model.orders[2:], 3):
         lookups = lookups.unionByName(df.mapInArrow(_shards(order, model.splits, model.buckets), "bucket int, block long, blob binary"))
     dealt = lookups.repartition(max(partitions(spark), 1), "bucket").sortWithinPartitions("bucket", "block")
@@ -386,7 +398,8 @@ def scores(spark: SparkSession, src: DataFrame, model: Model, scratch: Scratch)
     worth = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "worth")).alias("worth"))
     both = blocks.select("block", "docs").join(growing(worth), "block", "left").select("docs", "worth")
     scored = scratch.write(both.mapInArrow(_scored(sent), "doc_id long, lang string, h long, n_bytes long, nats long"), "scores")
-    scratch.drop(blocks)
+    for df in (blocks, *model.orders):
+        scratch.drop(df)
     return scored
 
 
@@ -417,7 +430,9 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     sure = likely.join(growing(trusted), "doc_id", "left_semi")
     model = train(spark, sure.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int")), scratch)
     scratch.release()
-    return judged(scratch, scores(spark, src, model, scratch), trusted, quantile)
+    scored = scores(spark, src, model, scratch)
+    scratch.release()
+    return judged(scratch, scored, trusted, quantile)
 
 
 def judged(scratch: Scratch, scored: DataFrame, trusted: DataFrame, quantile: float) -> DataFrame:
