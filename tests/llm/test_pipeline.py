@@ -61,6 +61,37 @@ def test_stages(spark):
     assert Counter((r.doc_id, tuple(r.ids), r.decoded_sha256) for r in after) == want
 
 
+def test_stages_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    """Every stage on its own over nulls, repeats, long texts and clashing names."""
+    spark.createDataFrame([(i, 1, 0) for i in (1, 6, 8, 13, 14, 16)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    sf, before = str(tmp_path), odd.collect()
+    got = {name: stage(spark, odd, sf).collect() for name, stage in corpus_pipeline.STAGES}
+    rows = Counter(map(tuple, before))
+    for name in ("quality", "exact_dedup", "near_dedup", "mix"):
+        assert got[name] and tuple(got[name][0].__fields__) == tuple(odd.columns)
+        if name != "mix":
+            assert not Counter(map(tuple, got[name])) - rows
+    assert all(r.text and r.text.strip("") for r in got["quality"]) and {1, 6, 13} <= {r.doc_id for r in got["quality"]}
+    assert len(got["exact_dedup"]) == len({brute.normal(r.text) for r in before})
+    reach = brute.components([(r.doc_id, r.text) for r in before])
+    assert Counter(r.doc_id for r in got["near_dedup"]) == Counter(r.doc_id for r in before if r.doc_id is None or reach[r.doc_id] == r.doc_id)
+    assert not Counter((r.doc_id, r.text) for r in got["mix"]).keys() - {(r.doc_id, r.text) for r in before}
+    assert len(got["bpe"]) == len(before)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0
+
+
+def test_rows_of_an_id_are_judged_one_by_one(spark, real, tmp_path):
+    good = real.where("length(text) between 500 and 3000").orderBy("doc_id").limit(30)
+    junk = "\x01\x7f~^%$ zqxj" * 60
+    docs = good.unionByName(good.orderBy("doc_id").limit(3).selectExpr("doc_id", f"'{junk}' AS text", "lang", "source", "n_chars"))
+    # A label holds for all rows of its id, so those of repeated ids have none.
+    twice = [r.doc_id for r in good.orderBy("doc_id").limit(3).collect()]
+    good.where(~good.doc_id.isin(twice)).selectExpr("doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()
+    assert junk not in {r.text for r in kept} and len(kept) >= 25
+
+
 def test_sql_of_queries(spark):
     """The registered SQL on the small tables."""
     import duckdb
