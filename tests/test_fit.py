@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavelens.operators import align, membership, motif
+from wavelens.operators import curves as algebra
 from wavelens.options import FitOptions
 from wavelens.plans import discovery, plotdata
-from wavelens.plans.fit import checked_start, fit
+from wavelens.plans.fit import checked_start, fit, pooled_quantiles
 
 
 def planted(n=12, length=60, size=15, seed=3):
@@ -90,20 +91,32 @@ def test_discovery_end_to_end(spark, tmp_path):
     curves = planted()
     points, lengths = frames(spark, curves)
     options = FitOptions(2, 15, c_max=15, max_gap=0, iter_max=15, tol=1e-3, iter4clean=1000)
-    grid = discovery.find_candidates(spark, points, lengths, [2], [15], 3, f"file://{tmp_path}/grid", options)
+    grid = discovery.find_candidates(spark, points, lengths, [2], [15], 3, f"file://{tmp_path}/grid", options, max_restarts=0)
     assert grid.table("runs").count() == 3
     before = grid.table("runs").agg(F.sum("seconds")).first()[0]
     again = discovery.find_candidates(spark, points, lengths, [2], [15], 3, f"file://{tmp_path}/grid", options)
     assert again.table("runs").agg(F.sum("seconds")).first()[0] == before  # nothing was run again
-    found = discovery.filter_candidates(grid, -1.0, 1)
-    grouped = discovery.group_candidates(spark, found, [1.0], r_all=3.0)
+    with pytest.warns(UserWarning, match="all are used"):
+        found = discovery.filter_candidates(grid, -1.0, 1, K=[7], converged=False)
+    found.save(f"file://{tmp_path}/found")
+    found = discovery.Candidates.load(spark, f"file://{tmp_path}/found")
+    grouped = discovery.group_candidates(spark, found, r_all=3.0)  # weights of the grid
+    grouped.save(f"file://{tmp_path}/grouped")
+    grouped = discovery.Groups.load(spark, f"file://{tmp_path}/grouped")
+    assert grouped.r_all == 3.0
+    with pytest.raises(ValueError, match="other options"):
+        discovery.find_candidates(spark, points, lengths, [2], [15], 3, f"file://{tmp_path}/grid", FitOptions(2, 15, c_max=15, max_gap=0.1))
+    opened = discovery.open_grid(spark, f"file://{tmp_path}/grid")
+    assert (opened.K, opened.c, opened.weights, opened.options.max_gap, opened.options.tol) == ([2], [15], [1.0], 0, 1e-3)
     assert grouped.groups.agg(F.max("grp")).first()[0] >= 1
     for real in (False, True):
-        result = discovery.search(spark, grouped, points, lengths, ["y"], [1.0], 0.0, use_real_occurrences=real)
+        result = discovery.search(spark, grouped, points, lengths, ["y"], use_real_occurrences=real)
         ranks = [x["rank"] for x in result.motifs.orderBy("rank").collect()]
         assert ranks == list(range(1, len(ranks) + 1))
         top = result.motifs.where("rank = 1").first()
         assert top.frequency == result.occurrences.where(F.col("motif_id") == top.motif_id).count()
+    result.save(f"file://{tmp_path}/result")
+    assert discovery.Found.load(spark, f"file://{tmp_path}/result").motifs.count() == result.motifs.count()
     assert plotdata.found_segments(result, points).count() > 0
     assert plotdata.run_silhouettes(grid).count() == 3 and plotdata.run_lengths(grid).count() == 6
     assert plotdata.dendrogram(grouped).columns[-1] == "cut" and plotdata.group_alignment(grouped).count() == found.motifs.count()
@@ -114,6 +127,76 @@ def test_discovery_end_to_end(spark, tmp_path):
         plotdata.found_motifs(result, 10_000)
 
 
+def test_interrupted_grid(spark, tmp_path, monkeypatch):
+    """A write that fails after any table leaves nothing double behind; runs at
+    iter_max start again, and then give no candidates."""
+    curves = planted(n=6, length=40, size=10)
+    points, lengths = frames(spark, curves)
+    options = FitOptions(2, 10, c_max=10, max_gap=0, iter_max=2, tol=1e-12, iter4clean=1000)
+    real, calls = discovery.source.write_run, []
+
+    def failing(df, path):
+        real(df, path)
+        calls.append(path)
+        if len(calls) in stops:
+            raise OSError("stopped")
+
+    monkeypatch.setattr(discovery.source, "write_run", failing)
+    again = lambda: discovery.find_candidates(spark, points, lengths, [2], [10], 1, f"file://{tmp_path}/my grid", options, max_restarts=1)
+    stops = {2, 7}  # after the second table, then after the fifth
+    for _ in stops:
+        with pytest.raises(OSError):
+            again()
+    grid = again()
+    assert grid.folder.endswith("/my_grid") and len(calls) == 2 + 5 + 6
+    assert grid.table("runs").first().restarts == 1 and grid.table("membership").count() == 12
+    assert grid.table("motifs").count() == 2 and grid.table("motif_points").where("cleaned").count() <= 20
+    assert grid.table("silhouettes").groupBy("k", "curve_id").count().where("count > 1").count() == 0
+    with pytest.raises(ValueError, match="no motif"):
+        discovery.filter_candidates(grid, -1.0, 1)
+    assert discovery.filter_candidates(grid, -1.0, 1, converged=False).motifs.count() >= 1
+    with pytest.raises(ValueError):
+        discovery.find_candidates(spark, points, lengths, [2], [10], 0, f"file://{tmp_path}/x", options)
+
+
+def test_derivative_fit_has_level_centers(spark):
+    """A fit by derivatives gives the centers of the levels under the same shifts and memberships."""
+    curves = planted(n=8, length=40, size=10)
+    points, lengths = frames(spark, curves)
+    points = algebra.domain(algebra.derivative(points), ["dy"]).cache()
+    result = fit(spark, points, lengths, FitOptions(2, 10, c_max=10, max_gap=0, iter_max=3, distance="d1_L2", iter4clean=1000), derivatives=["dy"])
+    assert result.weights == [1.0, 0.0]
+    held = result.membership.select("curve_id", "k", "s", "p")
+    heads = result.motif_points.where("not cleaned").groupBy("k").agg(F.max("pos").alias("length"))
+    for channel, value in ((0, "dy"), (1, "y")):
+        want = {(x.k, x.pos): x.v for x in motif.centroid(points, held, heads, values=[value]).withColumnRenamed(value, "v").collect()}
+        got = {(x.k, x.pos): x.ch[channel] for x in result.motif_points.where("not cleaned and ch is not null").collect()}
+        assert got and all(v == pytest.approx(want[at]) for at, v in got.items())
+
+
+def test_pooled_quantiles(spark):
+    rng = np.random.default_rng(2)
+    values = {1: rng.normal(0, 1, 3001), 2: np.repeat([1.0, 2.0, 5.0], [5, 1, 7]), 3: np.array([4.0]), 4: rng.pareto(1, 500) ** 3}
+    rows = [(r, float(v)) for r, vs in values.items() for v in vs] + [(1, None)]
+    df = spark.createDataFrame(rows, "run_id long, d double").repartition(5)
+    for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+        got = pooled_quantiles(df, {r: q for r in values})
+        assert all(got[r] == pytest.approx(np.quantile(values[r], q)) for r in values)
+
+
+def test_many_motif_points_take_blocks(spark, monkeypatch):
+    """Beyond the broadcast limit the alignment goes by blocks, with equal results."""
+    points, lengths = frames(spark, planted(n=6))
+    heads = spark.createDataFrame([(k, 12, 9) for k in range(1, 6)], "k int, length int, c_k int")
+    own = spark.createDataFrame([(k, i, float(k * i % 7)) for k in range(1, 6) for i in range(1, 13)], "k int, pos int, y double")
+    key = lambda x: (x.curve_id, x.k)
+    want = sorted(align.align(points, lengths, heads, own).collect(), key=key)
+    monkeypatch.setattr(align, "BROADCAST_ROWS", 7)
+    met = align.align(points, lengths, heads, own)
+    assert "CartesianProduct" not in met._jdf.queryExecution().toString()
+    assert [tuple(x)[:3] + (pytest.approx(x.d), x.overlap) for x in want] == [tuple(x) for x in sorted(met.collect(), key=key)]
+
+
 def test_stream_finds_what_the_batch_finds(spark, tmp_path):
     from wavelens.operators import discovery as ops
     from wavelens.streaming.matcher import match

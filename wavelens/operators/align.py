@@ -13,14 +13,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of motif points up to which they are broadcast.
+#: Rows of motif points up to which they are broadcast, and of a part of more.
 BROADCAST_ROWS = 500_000
 
 
-def _small(df: DataFrame, rows: int | None) -> DataFrame:
-    """Broadcast of a side that is known to be small."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def _met(curves: DataFrame, own: DataFrame, fits: Column, keys: Sequence[str], rows: int | None) -> DataFrame:
+    """Every point of a curve with every point of a motif that fits. Up to
+    BROADCAST_ROWS motif points are sent to the curves; more are cut into parts of
+    about that many, and a task takes one slice of the curves with one part."""
+    n = own.count() if rows is None else rows
+    if n <= BROADCAST_ROWS:
+        return curves.join(F.broadcast(own), fits)
+    parts, slices = -(-n // BROADCAST_ROWS), int(curves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda many, name: F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias(name)
+    curves = curves.select("*", F.pmod(F.xxhash64("curve_id"), F.lit(slices)).cast("int").alias("_slice"), every(parts, "_part"))
+    own = own.select("*", F.pmod(F.xxhash64(*keys, "pos"), F.lit(parts)).cast("int").alias("_part"), every(slices, "_slice"))
+    return curves.join(own, ["_slice", "_part"]).where(fits)
 
 
 def _square(values: Sequence[str], weights: Sequence[float] | None) -> Column:
@@ -45,7 +53,7 @@ def shift_distances(points: DataFrame, lengths: DataFrame, motifs: DataFrame, mo
         fits = (s >= 1) & (s <= F.col("len") - F.col("length") + 1)
     else:
         fits = (s >= 1 - (F.col("length") - F.col("c_k"))) & (s <= F.col("len") - F.col("c_k") + 1)
-    met = curves.join(_small(own, rows), fits)
+    met = _met(curves, own, fits, keys, rows)
     by = ["curve_id", *keys, "length", "c_k", s.cast("int").alias("s")]
     return met.groupBy(*by).agg(F.sum(_square(values, weights)).alias("ss"), F.count("*").alias("overlap")).withColumn("diss", F.col("ss") / F.col("overlap"))
 
@@ -64,7 +72,7 @@ def best_shift(distances: DataFrame, keys: Sequence[str] = ("k",), fallback: boo
 def align(points: DataFrame, lengths: DataFrame, motifs: DataFrame, motif_points: DataFrame, values: Sequence[str] = ("y",), weights: Sequence[float] | None = None, contained: bool = False, keys: Sequence[str] = ("k",), rows: int | None = None) -> DataFrame:
     """JO1: every curve with every motif; s and d are null where no point overlaps."""
     best = best_shift(shift_distances(points, lengths, motifs, motif_points, values, weights, contained, keys, rows), keys)
-    every = lengths.select("curve_id").crossJoin(F.broadcast(motifs.select(*keys)))
+    every = lengths.select("curve_id").crossJoin(motifs.select(*keys))
     return every.join(best, ["curve_id", *keys], "left")
 
 

@@ -22,7 +22,7 @@ def fuzzy(distances: DataFrame, m: float = 2.0, runs: Sequence[str] = ()) -> Dat
 def rescued(membership: DataFrame, runs: Sequence[str] = ()) -> DataFrame:
     """AG10: a motif without any member gets the nearest curve with p = 1."""
     empty = membership.groupBy(*runs, "k").agg(F.sum("p").alias("all_p"), F.min(F.struct("d", "curve_id")).alias("near")).where("all_p = 0").select(*runs, "k", F.col("near.curve_id").alias("_one"))
-    out = membership.join(F.broadcast(empty), [*runs, "k"], "left")
+    out = membership.join(empty, [*runs, "k"], "left")
     return out.withColumn("p", F.when(F.col("_one") == F.col("curve_id"), F.lit(1.0)).otherwise(F.col("p"))).drop("_one")
 
 
@@ -50,11 +50,11 @@ def cleaned(membership: DataFrame, quantile: float, runs: Sequence[str] = ()) ->
     interpolation, strict), and for the nearest curve of a motif that would have
     none."""
     cut = membership.groupBy(*runs).agg(F.percentile("d", F.lit(quantile)).alias("_cut"))
-    out = membership.join(F.broadcast(cut), list(runs)) if runs else membership.crossJoin(F.broadcast(cut))
+    out = membership.join(cut, list(runs)) if runs else membership.crossJoin(cut)
     out = out.withColumn("p_clean", F.coalesce((F.col("d") < F.col("_cut")).cast("int"), F.lit(0)))
     near = out.groupBy(*runs, "k").agg(F.max("p_clean").alias("_any"), F.min(F.when(F.col("d").isNotNull(), F.struct("d", "curve_id"))).alias("_near"))
     near = near.where("_any = 0").select(*runs, "k", F.col("_near.curve_id").alias("_one"))
-    out = out.join(F.broadcast(near), [*runs, "k"], "left")
+    out = out.join(near, [*runs, "k"], "left")
     return out.withColumn("p_clean", F.when(F.col("_one") == F.col("curve_id"), 1).otherwise(F.col("p_clean"))).drop("_cut", "_one")
 
 

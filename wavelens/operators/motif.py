@@ -13,7 +13,7 @@ from .align import _square
 def member_points(points: DataFrame, membership: DataFrame, motifs: DataFrame, keys: Sequence[str] = ("k",)) -> DataFrame:
     """JO7, FI10: the points of members (p > 0) under each motif, with pos, p and
     the member's overlap."""
-    held = points.join(membership.where("p > 0").select("curve_id", *keys, "s", "p"), "curve_id").join(F.broadcast(motifs.select(*keys, "length")), list(keys))
+    held = points.join(membership.where("p > 0").select("curve_id", *keys, "s", "p"), "curve_id").join(motifs.select(*keys, "length"), list(keys))
     held = held.withColumn("pos", F.col("x") - F.col("s") + 1).where((F.col("pos") >= 1) & (F.col("pos") <= F.col("length")))
     return held.withColumn("overlap", F.count("*").over(Window.partitionBy("curve_id", *keys)))
 
@@ -29,7 +29,7 @@ def trimmed(center: DataFrame, keys: Sequence[str] = ("k",)) -> tuple[DataFrame,
     """AG6: the center from its first to its last position, counted from 1, and
     the header (keys, length, trim_left); shifts move by trim_left."""
     header = center.groupBy(*keys).agg((F.max("pos") - F.min("pos") + 1).alias("length"), (F.min("pos") - 1).alias("trim_left"))
-    return center.join(F.broadcast(header.select(*keys, "trim_left")), list(keys)).withColumn("pos", F.col("pos") - F.col("trim_left")).drop("trim_left"), header
+    return center.join(header.select(*keys, "trim_left"), list(keys)).withColumn("pos", F.col("pos") - F.col("trim_left")).drop("trim_left"), header
 
 
 def objective(points: DataFrame, membership: DataFrame, motif_points: DataFrame, m: float = 2.0, values: Sequence[str] = ("y",), weights: Sequence[float] | None = None, keys: Sequence[str] = ("k",), keep: str | None = None) -> DataFrame:
@@ -38,7 +38,7 @@ def objective(points: DataFrame, membership: DataFrame, motif_points: DataFrame,
     the column `keep` holds (0 without overlap)."""
     own = motif_points.select(*keys, "pos", *(F.col(v).alias(f"m_{v}") for v in values))
     members = membership.where("p > 0")
-    met = points.join(members.select("curve_id", *keys, "s"), "curve_id").withColumn("pos", F.col("x") - F.col("s") + 1).join(F.broadcast(own), [*keys, "pos"])
+    met = points.join(members.select("curve_id", *keys, "s"), "curve_id").withColumn("pos", F.col("x") - F.col("s") + 1).join(own, [*keys, "pos"])
     each = met.groupBy("curve_id", *keys).agg(F.count("*").alias("overlap"), (F.sum(_square(values, weights)) / F.count("*")).alias("dist"))
     each = members.join(each, ["curve_id", *keys], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
     kept = F.when(F.col(keep), F.col("overlap")) if keep else F.col("overlap")

@@ -102,7 +102,7 @@ def sql() -> dict[str, str]:
         "curve_rescale": ev("SELECT curve_id, x, y * 100000 AS y FROM ev"),
         "curve_packed": ev("SELECT curve_id, len, string_agg(coalesce(y::VARCHAR, '-'), ',' ORDER BY g.x) AS y FROM ln CROSS JOIN range(1, 31) g(x) LEFT JOIN ev USING (curve_id, x) GROUP BY curve_id, len", "ln"),
         "curve_unpacked": "SELECT vec_id AS curve_id, x::INTEGER AS x, y::DOUBLE AS y FROM (SELECT vec_id, unnest(embedding) AS y, generate_subscripts(embedding, 1) AS x FROM embeddings)",
-        "curve_wide_to_long": ev("SELECT curve_id, x, y FROM ev WHERE curve_id IN (0, 1, 2)"),
+        "curve_wide_to_long": "SELECT event_type AS curve_id, (date_diff('day', DATE '2024-01-01', ts::DATE) + 1)::INTEGER AS x, count(*) AS y FROM events GROUP BY ALL",
         "curve_joined_tables": "SELECT c_nationkey::BIGINT AS curve_id, ((year(o_orderdate) - 1995) * 12 + month(o_orderdate))::INTEGER AS x, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS y FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL",
         "shift_window_padded": ev("SELECT l.curve_id, s, pos::INTEGER AS pos, y FROM (SELECT curve_id, (curve_id % 30 - 3)::INTEGER AS s FROM ln) l CROSS JOIN range(1, 8) t(pos) LEFT JOIN ev ON ev.curve_id = l.curve_id AND ev.x = s + pos - 1", "ln"),
         "shift_window_cropped": ev("SELECT curve_id, (curve_id % 30 - 3)::INTEGER AS s, (x - (curve_id % 30 - 3) + 1)::INTEGER AS pos, y FROM ev WHERE x - (curve_id % 30 - 3) + 1 BETWEEN 1 AND 7"),
@@ -110,12 +110,12 @@ def sql() -> dict[str, str]:
         "align_min_shift_d1": _with("ev dv", dvn + _aligned("SELECT curve_id, x, dy FROM dvn", cuts, "(e.dy - m.dy) * (e.dy - m.dy)", "-1", "26", "5")),
         "align_sobolev": _with("ev dv", dvn + _aligned("SELECT * FROM dvn", cuts, "0.5::DOUBLE * ((e.y - m.y) * (e.y - m.y)) + 0.5::DOUBLE * ((e.dy - m.dy) * (e.dy - m.dy))", "-1", "26", "5")),
         "align_weighted_d2": _with("li", ", " + _aligned("SELECT * FROM li", "SELECT 1 AS k, x - 19 AS pos, y, n FROM li WHERE curve_id = 1 AND x BETWEEN 20 AND 31", "0.5::DOUBLE * ((e.y - m.y) * (e.y - m.y)) + 1.0::DOUBLE * ((e.n - m.n) * (e.n - m.n))", "-1", "74", "10", "(VALUES (1)) g(k)")),
-        "align_fallback_overlap": ev(", " + _aligned("SELECT * FROM ev WHERE x % 3 = 0", "SELECT * FROM mp", "(e.y - m.y) * (e.y - m.y)", "1", "24", "7"), "mp"),
+        "align_fallback_overlap": ev(", " + _aligned("SELECT * FROM ev", "SELECT * FROM mp", "(e.y - m.y) * (e.y - m.y)", "2", "23", "8"), "mp"),
         "contained_min_shift": ev(", " + _aligned("SELECT * FROM ev", "SELECT * FROM mp", "(e.y - m.y) * (e.y - m.y)", "1", "24", "5"), "mp"),
         "fixed_shift_diss": ev("SELECT l.curve_id, m.k, l.s::INTEGER AS s, count(*) AS overlap, sum((e.y - m.y) * (e.y - m.y))::DOUBLE / count(*) AS d FROM (SELECT curve_id, g.k, curve_id % 10 + g.k AS s FROM ln CROSS JOIN (VALUES (1), (2), (3)) g(k)) l JOIN ev e ON e.curve_id = l.curve_id JOIN mp m ON m.k = l.k AND m.pos = e.x - l.s + 1 GROUP BY ALL", "ln mp"),
         "cross_dissimilarity_matrix": _with(_AL, "SELECT curve_id, max(CASE WHEN k = 1 THEN d END) AS d1, max(CASE WHEN k = 2 THEN d END) AS d2, max(CASE WHEN k = 3 THEN d END) AS d3 FROM al GROUP BY curve_id"),
         "motif_centroid": ev("SELECT k, pos, round(y, 3) AS y FROM ce", "ln iv ip ish st mb ce", K=2, c2=7),
-        "motif_centroid_trim": ev("SELECT k, (pos - lo + 1)::INTEGER AS pos, round(y, 3) AS y, (hi - lo + 1)::INTEGER AS length, (lo - 1)::INTEGER AS trim_left FROM (SELECT *, min(pos) OVER (PARTITION BY k) AS lo, max(pos) OVER (PARTITION BY k) AS hi FROM ce)", "ln iv ip ish st mb ce", K=2, c2=7).replace("st AS (SELECT curve_id, k, s, p FROM ip JOIN ish USING (curve_id, k))", "st AS (SELECT curve_id, k, s - 2 AS s, p FROM ip JOIN ish USING (curve_id, k) WHERE curve_id % 3 = 0 AND s - 2 < 0)"),
+        "motif_centroid_trim": ev("SELECT k, (pos - lo + 1)::INTEGER AS pos, round(y, 3) AS y, (hi - lo + 1)::INTEGER AS length, (lo - 1)::INTEGER AS trim_left FROM (SELECT *, min(pos) OVER (PARTITION BY k) AS lo, max(pos) OVER (PARTITION BY k) AS hi FROM ce)", "ln iv ip ish st mb ce", K=2, c2=7).replace("st AS (SELECT curve_id, k, s, p FROM ip JOIN ish USING (curve_id, k))", "st AS (SELECT curve_id, k, -1 - s % 3 AS s, p FROM ip JOIN ish USING (curve_id, k))"),
         "motif_objective_jk": ev("SELECT k, round(sum(d * p * p) / 1e6, 3) AS j, min(coalesce(o, 0)) AS least_kept FROM (SELECT st.curve_id, st.k, any_value(p) AS p, count(m.pos) AS o, sum((e.y - m.y) * (e.y - m.y))::DOUBLE / nullif(count(m.pos), 0) AS d FROM st LEFT JOIN ev e ON e.curve_id = st.curve_id LEFT JOIN mp m ON m.k = st.k AND m.pos = e.x - s + 1 WHERE p > 0 GROUP BY st.curve_id, st.k) GROUP BY k", "ln mp iv ip ish st", K=2, c2=7),
         "elongation_grid": "SELECT * FROM (VALUES (1, 0, 1, 8), (1, 0, 2, 9), (1, 0, 3, 10), (1, 1, 0, 8), (1, 1, 1, 9), (1, 1, 2, 10), (1, 2, 0, 9), (1, 2, 1, 10), (1, 3, 0, 10), (2, 0, 1, 21), (2, 0, 4, 24), (2, 0, 7, 27), (2, 0, 10, 30), (2, 1, 0, 21), (2, 1, 1, 22), (2, 1, 4, 25), (2, 1, 7, 28), (2, 4, 0, 24), (2, 4, 1, 25), (2, 4, 4, 28), (2, 7, 0, 27), (2, 7, 1, 28), (2, 10, 0, 30), (4, 0, 1, 31), (4, 0, 6, 36), (4, 0, 10, 40), (4, 0, 15, 45), (4, 1, 0, 31), (4, 1, 1, 32), (4, 1, 6, 37), (4, 1, 10, 41), (4, 6, 0, 36), (4, 6, 1, 37), (4, 6, 6, 42), (4, 10, 0, 40), (4, 10, 1, 41), (4, 15, 0, 45)) t(k, add_left, add_right, new_length)",
         "elongation_choice": _with("li", """, g AS (SELECT a, b FROM (VALUES (0), (1), (4), (6)) t(a), (VALUES (0), (1), (4), (6)) u(b) WHERE a + b <= 6),
@@ -143,7 +143,7 @@ def sql() -> dict[str, str]:
         "cluster_mean_curve": fz("SELECT label, pos::INTEGER AS pos, round(avg(y), 3) AS mean_y, count(y) AS n FROM as_ CROSS JOIN range(1, 8) t(pos) LEFT JOIN ev ON ev.curve_id = as_.curve_id AND ev.x = s + pos - 1 GROUP BY label, pos", "hl as_"),
         "median_shift": fz("SELECT label, median(s)::DOUBLE AS median_shift FROM as_ GROUP BY label", "hl as_"),
         "distance_histogram": _with(_AL, "SELECT k, floor(d / 5e6)::BIGINT AS bin, count(*) AS n FROM al WHERE d IS NOT NULL GROUP BY ALL"),
-        "distance_density": _with(_AL, "SELECT g, round(avg(exp(((g - d) / 1.5e6::DOUBLE) * ((g - d) / 1.5e6::DOUBLE) * -0.5) / (1.5e6::DOUBLE * 2.5066282746310002)) * 1e9, 6) AS density FROM al CROSS JOIN (SELECT i * 2e6::DOUBLE AS g FROM range(21) t(i)) WHERE k = 1 GROUP BY g"),
+        "distance_density": _with(_AL, "SELECT g, round(avg(exp(((g - d) / 1.5e6::DOUBLE) * ((g - d) / 1.5e6::DOUBLE) * -0.5) / (1.5e6::DOUBLE * 2.5066282746310002)) * 1e9, 6) AS density FROM al CROSS JOIN (SELECT i * 2e6::DOUBLE AS g FROM range(21) t(i)) GROUP BY g"),
         "distance_quantiles": _with(_AL, "SELECT k, round(min(d), 3) AS low, round(quantile_cont(d, 0.25), 3) AS q1, round(quantile_cont(d, 0.5), 3) AS mid, round(quantile_cont(d, 0.75), 3) AS q3, round(max(d), 3) AS high, count(d) AS n FROM al GROUP BY k"),
         "silhouette_pieces": fz("SELECT k, curve_id, round(sil, 6) AS sil FROM sl", "cl pc pd sl"),
         "silhouette_average": fz("SELECT k, round(avg(sil), 6) AS avg_sil, count(*) AS size FROM sl GROUP BY k", "cl pc pd sl"),
@@ -155,7 +155,7 @@ def sql() -> dict[str, str]:
         "best_restart": _with("rn", "SELECT K AS clusters, c, init, iter, j FROM (SELECT *, row_number() OVER (PARTITION BY K, c ORDER BY j, init) AS f FROM (SELECT K, c, init, max(iter) AS iter, max_by(avg_sil, iter * 10 + avg_sil) AS j FROM rn GROUP BY ALL)) WHERE f = 1"),
         "motif_length_summary": _with("rn", "SELECT K AS clusters, c, init, min(length) AS low, max(length) AS high, round(avg(length * 100.0::DOUBLE / c), 6) AS pct, count(*) AS n FROM rn GROUP BY ALL"),
         "motif_pair_distance": ev("SELECT m1, m2, shift, d FROM (SELECT *, row_number() OVER (PARTITION BY m1, m2 ORDER BY d, shift) AS f FROM (SELECT *, max(overlap) OVER (PARTITION BY m1, m2) AS most FROM mr) WHERE overlap >= least(c_k, most)) WHERE f = 1", "mh mm mr"),
-        "radius_separable": _with(f"{_AL} tk", "SELECT max(d) AS r FROM tk WHERE k = 1 AND p_clean = 1", clean="d < 2e6"),
+        "radius_separable": _with(f"{_AL} tk", "SELECT max(d) AS r FROM tk WHERE p_clean = 1", clean="d < 2e6"),
         "radius_knn": _with(f"{_AL} tk", f"SELECT round(r, 4) AS r FROM ({_radius('', 400)})", clean="d < 4e6 AND curve_id % 4 <> 0"),
         "group_radius_join": _with(f"{_AL} tk", f"SELECT k, round(max(r), 4) AS r, count(*) FILTER (d <= r) AS n FROM tk JOIN ({_radius('k', 200)}) USING (k) GROUP BY k", clean="d < 4e6 AND (curve_id % 4 <> 0 OR k = 1)"),
         "occurrence_search": search("SELECT * FROM oc"),
@@ -165,6 +165,6 @@ def sql() -> dict[str, str]:
         "rank_sum_per_group": search("""SELECT grp, motif_id, frequency FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score, motif_id) AS f FROM (SELECT *, rank() OVER (PARTITION BY grp ORDER BY -frequency) + (count(*) OVER (PARTITION BY grp, frequency) - 1) / 2.0
             + rank() OVER (PARTITION BY grp ORDER BY mean_diss) + (count(*) OVER (PARTITION BY grp, mean_diss) - 1) / 2.0 AS score FROM (SELECT *, (motif_id % 3)::INTEGER AS grp FROM fq))) WHERE f = 1""", "fq"),
         "top_n_motifs": search("SELECT rank::INTEGER AS rank, motif_id, frequency FROM rk WHERE frequency >= 2 ORDER BY rank LIMIT 3", "fq rk"),
-        "occurrence_segments": search("SELECT motif_id, curve_id, shift, (x - shift + 1)::INTEGER AS pos, y FROM oc JOIN mh USING (motif_id) JOIN ev USING (curve_id) WHERE motif_id <= 3 AND x - shift + 1 BETWEEN 1 AND length"),
+        "occurrence_segments": search("SELECT motif_id, curve_id, shift, (x - shift + 1)::INTEGER AS pos, y FROM oc JOIN mh USING (motif_id) JOIN ev USING (curve_id) WHERE x - shift + 1 BETWEEN 1 AND length"),
         "aligned_plot_data": fz("SELECT k, curve_id, (x - s + 1)::INTEGER AS pos, y, round_even(round(p, 6) * 5, 2) AS width, p_clean FROM cl JOIN ev USING (curve_id) WHERE x - s + 1 BETWEEN 1 AND 7", "cl"),
     }

@@ -3,9 +3,11 @@ resumable results, candidates, groups and radii, occurrences of chosen motifs.""
 
 from __future__ import annotations
 
+import json
 import math
+import warnings
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, fields, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ def pieces(result: Fit) -> DataFrame:
     """(run_id, k, curve_id, y): what each cleaned motif holds of its curves, laid
     on the raw motif's positions; its gaps are left out."""
     domain = result.motif_points.where("not cleaned").groupBy("run_id", "k").agg(F.max("pos").alias("length"), F.collect_set(F.when(F.col("ch").isNotNull(), F.col("pos"))).alias("inside"))
-    held = result.membership.where("p_clean = 1").select("run_id", "k", "curve_id", "s_clean").join(F.broadcast(domain), ["run_id", "k"]).join(result.curves, "curve_id")
+    held = result.membership.where("p_clean = 1").select("run_id", "k", "curve_id", "s_clean").join(domain, ["run_id", "k"]).join(result.curves, "curve_id")
     channels = result.channels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,73 +66,173 @@ def piece_distances(parts: DataFrame, result: Fit, contained: bool = False) -> D
 
 
 def silhouettes(result: Fit, contained: bool = False) -> DataFrame:
-    """API3: (run_id, k, curve_id, sil, ord). A run of one motif gives 0."""
+    """API3, Q18: (run_id, k, curve_id, sil, ord). A run of one motif gives 0, with a warning."""
+    if result.runs.where("clusters = 1").head(1):
+        warnings.warn("a run of one motif has nothing to be apart from: its silhouettes are 0", stacklevel=2)
     parts = pieces(result)
     return silhouette.silhouette(piece_distances(parts, result, contained), parts.select("run_id", "k", "curve_id"), ["run_id"])
 
 
 @dataclass
 class Grid:
-    """Results of a grid of runs, as tables under a folder (keys clusters, c, init)."""
+    """Results of a grid of runs, as tables under a folder (keys clusters, c, init),
+    with the options that they were made with."""
 
     spark: SparkSession
     folder: str
     options: FitOptions
+    weights: list[float]  # of the channels in the distance
+    K: list[int]
+    c: list[int]
 
     def table(self, name: str, K: Sequence[int] | None = None, c: Sequence[int] | None = None) -> DataFrame:
         return source.read_runs(self.spark, f"{self.folder}/{name}", K, c)
 
 
-def find_candidates(spark: SparkSession, points: DataFrame, lengths: DataFrame, K: Sequence[int], c: Sequence[int], n_init: int, folder: str, options: FitOptions | None = None, levels: Sequence[str] = ("y",), derivatives: Sequence[str] = (), contained: bool = False, at_once: int = 20) -> Grid:
-    """API4, D12, SC5, SC6, Q19: all runs of K x c x n_init that the folder has no
-    result of, `at_once` of them in one fit; each batch's motifs, memberships,
-    traces, silhouettes and times are appended, so an interrupted grid goes on
-    where it stopped. A run that reaches iter_max is kept, marked so."""
-    options = options or FitOptions(2, 2)
-    base, grid = folder.rstrip("/"), source.run_grid(spark, K, c, n_init)
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """A written table; None where there is none yet."""
     try:
-        todo = source.pending(grid, spark.read.parquet(f"{base}/runs"))
-    except Exception as e:  # no results yet
+        return spark.read.parquet(path)
+    except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-        todo = grid
-    work = todo.orderBy("run_id").collect()  # as many rows as runs
-    for i in range(0, len(work), at_once):
-        part = work[i : i + at_once]
-        result = fit(spark, points, lengths, [replace(options, K=x.clusters, c=x.c, seed=x.init) for x in part], levels, derivatives)
-        names = F.broadcast(spark.createDataFrame([(n, x.clusters, x.c, x.init) for n, x in enumerate(part, 1)], "run_id long, clusters int, c int, init int"))
-        keyed = lambda df: df.drop("clusters", "c").join(names, "run_id").drop("run_id")  # noqa: B023, E731
-        sil = silhouettes(result, contained)
-        average = silhouette.average(sil, ["run_id"])
-        size = result.motif_points.where("cleaned").groupBy("run_id", "k").agg(F.max("pos").alias("length"))
-        motifs = size.join(average, ["run_id", "k"])
-        for name, df in (("motif_points", result.motif_points), ("membership", result.membership), ("iterations", result.iterations), ("silhouettes", sil), ("motifs", motifs), ("runs", result.runs)):
-            source.write_run(keyed(df), f"{base}/{name}")
-    return Grid(spark, base, options)
+        return None
+
+
+def _settings(options: FitOptions, levels: Sequence[str], derivatives: Sequence[str], contained: bool) -> str:
+    """What all runs of a grid share, as text."""
+    shared = {k: v for k, v in asdict(options).items() if k not in ("K", "c", "seed")}
+    return json.dumps({"options": shared, "levels": list(levels), "derivatives": list(derivatives), "contained": contained}, sort_keys=True)
+
+
+def open_grid(spark: SparkSession, folder: str) -> Grid:
+    """SC7, SC8: a written grid with its options."""
+    base = folder.rstrip("/")
+    row = spark.read.parquet(f"{base}/settings").first()
+    held = json.loads(row.settings)
+    options = FitOptions(K=row.K[0], c=row.c[0], **{k: tuple(v) if isinstance(v, list) else v for k, v in held["options"].items()})
+    return Grid(spark, base, options, list(row.weights), list(row.K), list(row.c))
+
+
+def find_candidates(
+    spark: SparkSession, points: DataFrame, lengths: DataFrame, K: Sequence[int], c: Sequence[int], n_init: int, folder: str, options: FitOptions | None = None,
+    levels: Sequence[str] = ("y",), derivatives: Sequence[str] = (), contained: bool = False, at_once: int = 20, max_restarts: int = 3,
+) -> Grid:
+    """API4, D12, SC5, SC6, SC8, Q19: all runs of K x c x n_init that the folder
+    has no result of, `at_once` of them in one fit.
+
+    A run that reaches iter_max starts again from another seed, up to
+    max_restarts times; one that then has not converged is kept, marked so, and
+    gives no candidates. Tables of a run replace those of an interrupted write;
+    `runs` is written last and tells what is done. Spaces in the folder's last
+    name become underscores, with a warning. The options are stored; a folder
+    with other ones raises ValueError."""
+    options = options or FitOptions(2, 2)
+    if not (isinstance(n_init, int) and n_init >= 1):
+        raise ValueError("n_init is an integer of 1 or more")
+    base = folder.rstrip("/")
+    head, _, name = base.rpartition("/")
+    if " " in name:
+        warnings.warn("spaces in the name become underscores", stacklevel=2)
+        base = f"{head}/{name.replace(' ', '_')}"
+    settings = _settings(options, levels, derivatives, contained)
+    known = _read(spark, f"{base}/settings")
+    row = known.first() if known is not None else None
+    if row is not None and row.settings != settings:
+        raise ValueError("the folder has runs of other options")
+    checked = replace(options, K=K[0], c=c[0]).checked(dims=len(levels))
+    weights = checked.channel_weights(len(levels))
+    every = [sorted({*new, *(old or [])}) for new, old in ((K, row and row.K), (c, row and row.c))]
+    if row is None or every != [list(row.K), list(row.c)]:
+        made = [(settings, *every, weights)]
+        held = spark.createDataFrame(made, "settings string, K array<int>, c array<int>, weights array<double>")
+        held.coalesce(1).write.mode("overwrite").parquet(f"{base}/settings")
+    grid, done = source.run_grid(spark, K, c, n_init), _read(spark, f"{base}/runs")
+    todo = grid if done is None else source.pending(grid, done)
+    work = [(x, 0) for x in todo.orderBy("run_id").collect()]  # as many rows as runs
+    while work:
+        part, work = work[:at_once], work[at_once:]
+        seeds = [x.init + 10_007 * tries for x, tries in part]
+        result = fit(spark, points, lengths, [replace(options, K=x.clusters, c=x.c, seed=seed) for (x, _), seed in zip(part, seeds, strict=True)], levels, derivatives)
+        status = {x.run_id: x.status for x in result.runs.collect()}
+        again = [n for n, (_, tries) in enumerate(part, 1) if status[n] != "converged" and tries < max_restarts]
+        work += [(part[n - 1][0], part[n - 1][1] + 1) for n in again]
+        over = [(n, x.clusters, x.c, x.init, tries) for n, (x, tries) in enumerate(part, 1) if n not in again]
+        if over:
+            _write_runs(spark, result, over, base, contained)
+    return open_grid(spark, base)
+
+
+def _write_runs(spark: SparkSession, result: Fit, over: list[tuple], base: str, contained: bool) -> None:
+    """Tables of the runs (run_id, clusters, c, init, restarts) that are over."""
+    names = F.broadcast(spark.createDataFrame(over, "run_id long, clusters int, c int, init int, restarts int"))
+    keyed = lambda df: df.drop("clusters", "c").join(names, "run_id").drop("run_id")
+    sil = silhouettes(result, contained)
+    average = silhouette.average(sil, ["run_id"])
+    size = result.motif_points.where("cleaned").groupBy("run_id", "k").agg(F.max("pos").alias("length"))
+    tables = {"motif_points": result.motif_points, "membership": result.membership, "iterations": result.iterations, "silhouettes": sil, "motifs": size.join(average, ["run_id", "k"])}
+    for name, df in tables.items():
+        source.write_run(keyed(df).drop("restarts"), f"{base}/{name}")
+    source.write_run(keyed(result.runs), f"{base}/runs")
+
+
+class Kept:
+    """SC10: frames of a result (fields) that can be saved in a folder and loaded."""
+
+    def save(self, folder: str) -> None:
+        for f in fields(self):
+            value, path = getattr(self, f.name), f"{folder.rstrip('/')}/{f.name}"
+            if isinstance(value, Kept):
+                value.save(path)
+            elif isinstance(value, DataFrame):
+                value.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str):
+        base = folder.rstrip("/")
+        if "candidates" in {f.name for f in fields(cls)}:
+            return cls(Candidates.load(spark, f"{base}/candidates"), *(spark.read.parquet(f"{base}/{f.name}") for f in fields(cls)[1:]))
+        return cls(*(spark.read.parquet(f"{base}/{f.name}") for f in fields(cls)))
 
 
 @dataclass
-class Candidates:
+class Candidates(Kept):
     """D14: motif_id with its run, its cleaned points, and every curve's distance."""
 
     motifs: DataFrame  # motif_id, clusters, c, init, k, length, avg_sil, size
     motif_points: DataFrame  # motif_id, pos, ch
     distances: DataFrame  # motif_id, curve_id, d, p_clean
+    settings: DataFrame  # weights, max_gap
 
 
-def filter_candidates(grid: Grid, sil_threshold: float = 0.5, size_threshold: int = 2, K: Sequence[int] | None = None, c: Sequence[int] | None = None) -> Candidates:
-    """API5, SC7: only directories of the chosen K and c are read."""
+def _subset(name: str, chosen: Sequence[int] | None, known: list[int]) -> list[int] | None:
+    """FI13: the chosen values; all, with a warning, where some are not of the grid."""
+    if chosen is not None and not set(chosen) <= set(known):
+        warnings.warn(f"{name} is not a subset of the grid's; all are used", stacklevel=3)
+        return None
+    return list(chosen) if chosen is not None else None
+
+
+def filter_candidates(grid: Grid, sil_threshold: float = 0.5, size_threshold: int = 2, K: Sequence[int] | None = None, c: Sequence[int] | None = None, converged: bool = True) -> Candidates:
+    """API5, SC7: only directories of the chosen K and c are read. converged:
+    motifs of runs that reached iter_max in all their starts are left out."""
     check_filter(sil_threshold, size_threshold)
-    motifs = discovery.candidates(grid.table("motifs", K, c), sil_threshold, size_threshold)
+    K, c = _subset("K", K, grid.K), _subset("c", c, grid.c)
+    key = ["clusters", "c", "init"]
+    found = grid.table("motifs", K, c)
+    if converged:
+        found = found.join(grid.table("runs", K, c).where("status = 'converged'").select(*key), key, "left_semi")
+    motifs = discovery.candidates(found, sil_threshold, size_threshold)
     rows = motifs.collect()  # motifs that a person chooses from
     if not rows:
         raise ValueError("no motif passes the filter")
     motifs = grid.spark.createDataFrame(rows, motifs.schema)
-    key = ["clusters", "c", "init", "k"]
+    key = [*key, "k"]
     ids = F.broadcast(motifs.select("motif_id", *key))
     own = grid.table("motif_points", K, c).where("cleaned").join(ids, key).select("motif_id", "pos", "ch")
     d = grid.table("membership", K, c).join(ids, key).select("motif_id", "curve_id", F.col("d_clean").alias("d"), "p_clean")
-    return Candidates(motifs, own, d)
+    settings = grid.spark.createDataFrame([(grid.weights, float(grid.options.max_gap))], "weights array<double>, max_gap double")
+    return Candidates(motifs, own, d, settings)
 
 
 def _flat(points: DataFrame, channels: int) -> DataFrame:
@@ -139,19 +241,25 @@ def _flat(points: DataFrame, channels: int) -> DataFrame:
 
 
 @dataclass
-class Groups:
+class Groups(Kept):
     """API6: distances between motifs, linkage, groups and radii."""
 
     candidates: Candidates
     pairs: DataFrame
-    r_all: float
     merges: DataFrame
     groups: DataFrame
     radii: DataFrame  # grp, r
+    overall: DataFrame  # r_all
+
+    @property
+    def r_all(self) -> float:
+        return self.overall.first().r_all
 
 
-def group_candidates(spark: SparkSession, found: Candidates, weights: Sequence[float], motif_overlap: float = 0.6, k_knn: int = 3, votes_all: float = 0.5, votes_group: float = 0.5, r_all: float | None = None, radii: Sequence[float] | None = None) -> Groups:
-    """API6, and with r_all or radii the choices that a person makes after API7."""
+def group_candidates(spark: SparkSession, found: Candidates, weights: Sequence[float] | None = None, motif_overlap: float = 0.6, k_knn: int = 3, votes_all: float = 0.5, votes_group: float = 0.5, r_all: float | None = None, radii: Sequence[float] | None = None) -> Groups:
+    """API6, and with r_all or radii the choices that a person makes after API7.
+    weights of the channels: those of the fits unless given."""
+    weights = list(found.settings.first().weights) if weights is None else list(weights)
     values = [f"v{i}" for i in range(len(weights))]
     own = _flat(found.motif_points, len(weights))
     pairs = discovery.motif_pairs(found.motifs, own, motif_overlap, values, weights)
@@ -168,22 +276,26 @@ def group_candidates(spark: SparkSession, found: Candidates, weights: Sequence[f
     elif found.motifs.count() == 1:
         made = spark.createDataFrame([(1, float(r_all))], "grp int, r double")
     else:
-        by = found.distances.join(F.broadcast(groups), "motif_id").select("grp", "d", "p_clean")
+        by = found.distances.join(groups, "motif_id").select("grp", "d", "p_clean")
         made = discovery.radius(by, k_knn, votes_group, groups=["grp"])
-    return Groups(found, pairs, float(r_all), merges, groups, made)
+    return Groups(found, pairs, merges, groups, made, spark.createDataFrame([(float(r_all),)], "r_all double"))
 
 
 @dataclass
-class Found:
+class Found(Kept):
     motifs: DataFrame  # rank, motif_id, grp, length, frequency, mean_diss, r
     occurrences: DataFrame  # motif_id, curve_id, shift, diss
 
 
-def search(spark: SparkSession, grouped: Groups, points: DataFrame, lengths: DataFrame, values: Sequence[str], weights: Sequence[float], max_gap: float = 0.2, use_real_occurrences: bool = False, length_diff: float = math.inf) -> Found:
+def search(spark: SparkSession, grouped: Groups, points: DataFrame, lengths: DataFrame, values: Sequence[str], weights: Sequence[float] | None = None, max_gap: float | None = None, use_real_occurrences: bool = False, length_diff: float = math.inf) -> Found:
     """API8: the best motifs of each group by the sum of ranks of frequency and
     mean distance, their occurrences in all curves, and their final order. By
     default groups are ranked by the curves within the radius; with
-    use_real_occurrences all motifs are searched first."""
+    use_real_occurrences all motifs are searched first. weights and max_gap: those
+    of the fits unless given."""
+    held = grouped.candidates.settings.first()
+    weights = list(held.weights) if weights is None else list(weights)
+    max_gap = held.max_gap if max_gap is None else max_gap
     names = [f"v{i}" for i in range(len(weights))]
     renamed = points.select("curve_id", "x", *(F.col(v).cast("double").alias(n) for v, n in zip(values, names, strict=True)))
     for n in names:
@@ -200,11 +312,11 @@ def search(spark: SparkSession, grouped: Groups, points: DataFrame, lengths: Dat
         hits = occurrences(heads)
         ranked = discovery.rank_sum(discovery.frequencies(hits).join(heads, "motif_id"), ["grp"])
         kept = discovery.diverse(ranked.select("motif_id", "grp", "rank", "length"), length_diff)
-        hits = hits.join(F.broadcast(kept.select("motif_id")), "motif_id")
+        hits = hits.join(kept.select("motif_id"), "motif_id")
     else:
-        near = discovery.approximate_frequencies(grouped.candidates.distances.join(F.broadcast(heads.select("motif_id", "r")), "motif_id"))
+        near = discovery.approximate_frequencies(grouped.candidates.distances.join(heads.select("motif_id", "r"), "motif_id"))
         ranked = discovery.rank_sum(near.join(heads, "motif_id"), ["grp"])
         kept = discovery.diverse(ranked.select("motif_id", "grp", "rank", "length"), length_diff)
-        hits = occurrences(heads.join(F.broadcast(kept.select("motif_id")), "motif_id"))
+        hits = occurrences(heads.join(kept.select("motif_id"), "motif_id"))
     final = discovery.rank_sum(discovery.frequencies(hits)).join(heads.select("motif_id", "grp", "length", "r"), "motif_id")
     return Found(final.select("rank", "motif_id", "grp", "length", "frequency", "mean_diss", "r"), hits)

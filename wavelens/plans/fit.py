@@ -1,10 +1,12 @@
 """Probabilistic local clustering: fuzzy K-means with alignment (API1, IT0-IT8).
 
-All runs of a grid advance together. The state is one row per curve: its points
-and, for every run and motif, shift, membership and distance. A motif is as small
-as its length, so motifs live on the driver; every step over the curves is one
-map job whose partial sums are added up by a grouped aggregate. The state is
-written to the shared folder at each iteration, which cuts lineage."""
+All runs of a grid advance together. The state is one row per curve: for every
+run and motif, shift, membership and distance. The curves' points are written
+once. Both tables are bucketed by curve, so that an iteration joins them where
+they lie, and only the small state is written anew, to the shared folder, which
+cuts lineage; the state before the last one is deleted. A motif is as small as
+its length, so motifs live on the driver; every step over the curves is one map
+job whose partial sums are added up by a grouped aggregate."""
 
 from __future__ import annotations
 
@@ -14,10 +16,12 @@ import uuid
 import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -52,7 +56,7 @@ class Run:
 class Fit:
     """Results of all runs: small tables of motifs, traces and memberships."""
 
-    motif_points: DataFrame  # run_id, k, cleaned, pos, ch (null: gap)
+    motif_points: DataFrame  # run_id, k, cleaned, pos, ch (null: gap); levels then derivatives, for d1_L2 derivatives then levels
     membership: DataFrame  # run_id, curve_id, k, s, d, p, s_clean, d_clean, p_clean
     iterations: DataFrame  # run_id, iter, j, bc_dist
     runs: DataFrame  # run_id, clusters, c, status, iter, seconds
@@ -86,7 +90,9 @@ def pack_curves(points: DataFrame, lengths: DataFrame, values: Sequence[str]) ->
     return both.mapInArrow(run, "curve_id long, len int, y binary")
 
 
-_STATE = "curve_id long, len int, y binary, state array<struct<run_id:long,k:int,s:int,d:double,p:double,keep:boolean>>, bc array<struct<run_id:long,bc:double>>"
+_STATE = "curve_id long, state array<struct<run_id:long,k:int,s:int,d:double,p:double,keep:boolean>>, bc array<struct<run_id:long,bc:double>>"
+#: Bins of the first pass of a quantile.
+_BINS = 1000
 
 
 def _rows(batch: pa.RecordBatch, channels: int):
@@ -97,7 +103,7 @@ def _rows(batch: pa.RecordBatch, channels: int):
 def _batch(rows: list[dict], batch: pa.RecordBatch) -> pa.RecordBatch:
     state = pa.list_(pa.struct([("run_id", pa.int64()), ("k", pa.int32()), ("s", pa.int32()), ("d", pa.float64()), ("p", pa.float64()), ("keep", pa.bool_())]))
     bc = pa.list_(pa.struct([("run_id", pa.int64()), ("bc", pa.float64())]))
-    return pa.record_batch([batch.column("curve_id"), batch.column("len"), batch.column("y"), pa.array([r["state"] for r in rows], state), pa.array([r["bc"] for r in rows], bc)], names=["curve_id", "len", "y", "state", "bc"])
+    return pa.record_batch([batch.column("curve_id"), pa.array([r["state"] for r in rows], state), pa.array([r["bc"] for r in rows], bc)], names=["curve_id", "state", "bc"])
 
 
 def _uniform(*numbers: int) -> float:
@@ -195,22 +201,74 @@ def _judged(requests, channels: int, weights: np.ndarray, m: dict[int, float]):
     return run
 
 
+def pooled_quantiles(values: DataFrame, quantiles: dict[int, float]) -> dict[int, float]:
+    """run_id -> its quantile (linear between two ranks) of (run_id, d), nulls
+    left out. Two passes: counts in equal bins, then the values of the one or two
+    bins that hold the ranks, sorted; no task holds a run's values."""
+    known = values.where("d is not null")
+    span = known.groupBy("run_id").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("n"))
+    span = {x.run_id: x for x in span.collect()}  # one a run
+    if not span:
+        return {}
+    of = lambda name: F.element_at(F.create_map(*[F.lit(v) for x in span.values() for v in (x.run_id, float(x[name]))]), F.col("run_id"))
+    bins = F.least(F.lit(_BINS - 1), F.floor((F.col("d") - of("low")) / F.greatest(F.lit(1e-300), of("high") - of("low")) * _BINS))
+    binned = known.withColumn("bin", bins.cast("int"))
+    counts: dict[int, np.ndarray] = {r: np.zeros(_BINS, np.int64) for r in span}
+    for x in binned.groupBy("run_id", "bin").count().collect():  # _BINS a run
+        counts[x.run_id][x.bin] = x["count"]
+    wanted, ranks = [], {}
+    for r, x in span.items():
+        at = (x.n - 1) * quantiles[r]
+        low, high, upto = math.floor(at), math.ceil(at), np.cumsum(counts[r])
+        first, last = (int(np.searchsorted(upto, k, "right")) for k in (low, high))
+        before = int(upto[first] - counts[r][first])
+        ranks[r] = (at - low, low - before, first, high - int(upto[last] - counts[r][last]), last)
+        wanted += [(r, first), (r, last)]
+    chosen = F.create_map(*[F.lit(v) for r, b in set(wanted) for v in (f"{r}:{b}", True)])
+    place = F.row_number().over(Window.partitionBy("run_id", "bin").orderBy("d")) - 1
+    ordered = binned.where(F.coalesce(chosen[F.concat_ws(":", "run_id", "bin")], F.lit(False))).withColumn("place", place)
+    exact = {f"{r}:{b}:{k}" for r, (_, k1, b1, k2, b2) in ranks.items() for k, b in ((k1, b1), (k2, b2))}
+    found = {(x.run_id, x.bin, x.place): x.d for x in ordered.where(F.concat_ws(":", "run_id", "bin", "place").isin(list(exact))).collect()}
+    out = {}
+    for r, (part, k1, b1, k2, b2) in ranks.items():
+        low, high = found[r, b1, k1], found[r, b2, k2]
+        out[r] = low + part * (high - low) if high != low else low
+    return out
+
+
 class Fitter:
     def __init__(self, spark: SparkSession, curves: DataFrame, channels: int, weights: Sequence[float], runs: list[Run], given=None):
         ship(spark)
         self.spark, self.channels, self.weights, self.runs = spark, channels, np.array(weights, float), runs
         self.root, self.turn = run_folder(spark), 0
+        self.tables: list[tuple[str, str]] = []
         known = [(r.run_id, r.options) for r in runs]
         for r in runs:
             r.began = time.perf_counter()
             r.motifs = [np.zeros((r.options.c[k], channels)) for k in range(r.options.K)]
-        self.state = self._write(curves.mapInArrow(_initial(known, channels, given or {}), _STATE))
+        self.curves = self._write(curves)
+        self.tables.clear()  # the curves stay
+        self.state = self._write(self.curves.mapInArrow(_initial(known, channels, given or {}), _STATE))
 
     def _write(self, df: DataFrame) -> DataFrame:
+        """The frame as a table bucketed by curve; joins of two such tables move nothing."""
         self.turn += 1
-        path = f"{self.root}/{self.turn}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        path, table = f"{self.root}/{self.turn}", f"wavelens_fit_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(buckets, "curve_id").option("path", path).saveAsTable(table)
+        self.tables.append((table, path))
+        return self.spark.table(table)
+
+    def _forget(self, keep: int) -> None:
+        """Delete all but the last `keep` tables of the state."""
+        old, self.tables = self.tables[: len(self.tables) - keep], self.tables[len(self.tables) - keep :]
+        for table, path in old:
+            self.spark.sql(f"DROP TABLE {table}")
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def _with_points(self, state: DataFrame) -> DataFrame:
+        return state.join(self.curves.hint("merge"), "curve_id")
 
     def _m(self) -> dict[int, float]:
         return {r.run_id: r.options.m for r in self.runs}
@@ -225,7 +283,7 @@ class Fitter:
         for i, (r, k, left, inside) in enumerate(wanted):
             by.setdefault((r.run_id, k + 1), []).append((i, left, inside))
         sent = self.spark.sparkContext.broadcast(by)
-        parts = state.mapInArrow(_summed(sent, self.channels, self._m()), "request long, v array<double>")
+        parts = self._with_points(state).mapInArrow(_summed(sent, self.channels, self._m()), "request long, v array<double>")
         total = parts.select("request", F.posexplode("v").alias("at", "x")).groupBy("request", "at").agg(F.sum("x").alias("x"))
         rows = total.groupBy("request").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v")).select("request", F.col("v.x").alias("v")).collect()
         out: list[np.ndarray | None] = [None] * len(wanted)
@@ -240,7 +298,7 @@ class Fitter:
         for i, (r, k, left, v) in enumerate(wanted):
             by.setdefault((r.run_id, k + 1), []).append((i, left, v))
         sent = self.spark.sparkContext.broadcast(by)
-        parts = state.mapInArrow(_judged(sent, self.channels, self.weights, self._m()), "request long, j double, least long")
+        parts = self._with_points(state).mapInArrow(_judged(sent, self.channels, self.weights, self._m()), "request long, j double, least long")
         found = {x.request: (x.j, x.least) for x in parts.groupBy("request").agg(F.sum("j").alias("j"), F.min("least").alias("least")).collect()}
         return [found.get(i, (0.0, 0)) for i in range(len(wanted))]
 
@@ -248,8 +306,7 @@ class Fitter:
         """FI6, FI7: the state with `into` (p or keep) set for distances below a
         pooled quantile of the run, and for the nearest curve of an empty motif."""
         flat = self._flat().where(F.col("run_id").isin(list(quantiles)))
-        q = F.create_map(*[F.lit(v) for kv in quantiles.items() for v in kv])
-        cuts = {x.run_id: x.cut for x in flat.groupBy("run_id").agg(F.percentile("d", F.array(*map(F.lit, sorted(set(quantiles.values()))))).alias("cuts")).withColumn("cut", F.element_at("cuts", F.array_position(F.array(*map(F.lit, sorted(set(quantiles.values())))), q[F.col("run_id")]).cast("int"))).collect()}
+        cuts = pooled_quantiles(flat.select("run_id", "d"), quantiles)
         cut = F.create_map(*[F.lit(v) for kv in cuts.items() for v in kv])
         near = flat.groupBy("run_id", "k").agg(F.min("d").alias("low"), F.min(F.when(F.col("d").isNotNull(), F.struct("d", "curve_id"))).alias("b")).collect()
         alone = {(x.run_id, x.k): x.b.curve_id for x in near if x.b is not None and not x.low < cuts[x.run_id]}
@@ -290,12 +347,13 @@ class Fitter:
             self._elongate(state, growing)
         sent = self.spark.sparkContext.broadcast([(r.run_id, r.options.m, [r.c_k(k) for k in range(r.options.K)], r.motifs) for r in active])
         # Old memberships are those before cleaning.
-        self.state = self._write(self.state.mapInArrow(_stepped(sent, self.channels, self.weights), _STATE))
-        self._rescue(active)
-        js = {x.run_id: x.j for x in self._flat().join(F.broadcast(self._ms()), "run_id").groupBy("run_id").agg(F.sum(F.col("d") * F.pow("p", "m")).alias("j")).collect()}
-        bc = self.state.select(F.explode("bc").alias("x")).groupBy("x.run_id")
+        self.state = self._write(self._with_points(self.state).mapInArrow(_stepped(sent, self.channels, self.weights), _STATE))
+        js = self._rescue()
         quantiles = sorted({r.options.quantile for r in active if r.options.stop_criterion == "quantile"})
-        stats = {x.run_id: x for x in bc.agg(F.max("x.bc").alias("max"), F.avg("x.bc").alias("mean"), *(F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY x.bc)").alias(f"q{i}") for i, q in enumerate(quantiles))).collect()}
+        exact = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY x.bc)").alias(f"q{i}") for i, q in enumerate(quantiles)]
+        bc = self.state.select(F.explode("bc").alias("x")).groupBy("x.run_id")
+        stats = {x.run_id: x for x in bc.agg(F.max("x.bc").alias("max"), F.avg("x.bc").alias("mean"), *exact).collect()}
+        self._forget(1)
         for r in active:
             how = r.options.stop_criterion
             r.bc = stats[r.run_id][how if how != "quantile" else f"q{quantiles.index(r.options.quantile)}"]
@@ -306,19 +364,30 @@ class Fitter:
                 if r.status == "iter_max":
                     warnings.warn(f"run {r.run_id} reached iter_max", stacklevel=2)
 
-    def _ms(self) -> DataFrame:
-        return self.spark.createDataFrame([(r.run_id, float(r.options.m)) for r in self.runs], "run_id long, m double")
-
-    def _rescue(self, active: list[Run]) -> None:
-        """AG10: a motif without a member gets the nearest curve."""
-        empty = self._flat().groupBy("run_id", "k").agg(F.sum("p").alias("p"), F.min(F.when(F.col("d").isNotNull(), F.struct("d", "curve_id"))).alias("b")).where("p = 0").collect()
-        empty = [x for x in empty if x.b is not None]
+    def _rescue(self) -> dict[int, float]:
+        """AG8, AG10: objectives of the runs; a motif without a member gets the nearest curve first."""
+        m = F.create_map(*[F.lit(v) for r in self.runs for v in (r.run_id, float(r.options.m))])
+        near = F.min(F.when(F.col("d").isNotNull(), F.struct("d", "curve_id"))).alias("b")
+        flat = self._flat().groupBy("run_id", "k").agg(F.sum("p").alias("p"), F.sum(F.col("d") * F.pow("p", m[F.col("run_id")])).alias("j"), near)
+        rows = flat.collect()  # one a motif
+        empty = {f"{x.run_id}:{x.k}": x.b.curve_id for x in rows if x.p == 0 and x.b is not None}
         if not empty:
-            return
-        for x in empty:
-            warnings.warn(f"motif {x.k} of run {x.run_id} has no member; it gets curve {x.b.curve_id}", stacklevel=2)
-        one = F.create_map(*[F.lit(v) for x in empty for v in (f"{x.run_id}:{x.k}", x.b.curve_id)])
-        self.state = self._write(self.state.withColumn("state", F.transform("state", lambda x: F.struct(x["run_id"].alias("run_id"), x["k"].alias("k"), x["s"].alias("s"), x["d"].alias("d"), F.when(one[F.concat_ws(":", x["run_id"], x["k"])] == F.col("curve_id"), F.lit(1.0)).otherwise(x["p"]).alias("p"), x["keep"].alias("keep")))))
+            out: dict[int, float] = {}
+            for x in rows:
+                out[x.run_id] = out.get(x.run_id, 0.0) + (x.j or 0.0)
+            return out
+        for x in rows:
+            if f"{x.run_id}:{x.k}" in empty:
+                warnings.warn(f"motif {x.k} of run {x.run_id} has no member; it gets curve {x.b.curve_id}", stacklevel=2)
+        one = F.create_map(*[F.lit(v) for kv in empty.items() for v in kv])
+
+        def change(x):
+            mine = F.coalesce(one[F.concat_ws(":", x["run_id"], x["k"])] == F.col("curve_id"), F.lit(False))
+            p = F.when(mine, F.lit(1.0)).otherwise(x["p"]).alias("p")
+            return F.struct(x["run_id"].alias("run_id"), x["k"].alias("k"), x["s"].alias("s"), x["d"].alias("d"), p, x["keep"].alias("keep"))
+
+        self.state = self._write(self.state.withColumn("state", F.transform("state", change)))
+        return self._rescue()
 
     def _elongate(self, state: DataFrame, growing: list[Run]) -> None:
         """IT4: gaps are filled and motifs grow where the objective rises little."""
@@ -397,9 +466,11 @@ class Fitter:
                             c.append(v)
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32()), strict=True)], names=names)
 
-        cleaned = masked.mapInArrow(distances, "run_id long, curve_id long, k int, s_clean int, d_clean double, p_clean int")
+        cleaned = self._with_points(masked).mapInArrow(distances, "run_id long, curve_id long, k int, s_clean int, d_clean double, p_clean int")
         flat = self.moved(self.state, raw_left).select("curve_id", F.explode("state").alias("x")).select("x.run_id", "curve_id", "x.k", "x.s", "x.d", "x.p")
         membership = self._write(flat.join(cleaned, ["run_id", "curve_id", "k"]))
+        self.tables.pop()  # a result
+        self._forget(0)
         points = [(r, k, c, i + 1, None if np.isnan(row[0]) else row.tolist()) for c, table in ((False, raw), (True, clean)) for (r, k), v in table.items() for i, row in enumerate(v)]
         make = self.spark.createDataFrame
         return Fit(
@@ -407,7 +478,7 @@ class Fitter:
             membership,
             make([(r.run_id, *x) for r in self.runs for x in r.iterations], "run_id long, iter int, j double, bc_dist double"),
             make([(r.run_id, r.options.K, r.options.c[0], r.status, len(r.iterations), r.seconds) for r in self.runs], "run_id long, clusters int, c int, status string, iter int, seconds double"),
-            self.state.select("curve_id", "len", "y"),
+            self.curves,
             self.channels,
             self.weights.tolist(),
         )
@@ -445,12 +516,15 @@ def fit(spark: SparkSession, points: DataFrame, lengths: DataFrame, options: Fit
         raise ValueError("runs of one call share distance, alpha and w")
     if first.distance != "d0_L2" and len(derivatives) != len(levels):
         raise ValueError("this distance needs a derivative for each level")
-    values = {"d0_L2": list(levels), "d1_L2": list(derivatives)}.get(first.distance, [*levels, *derivatives])
+    # A fit by derivatives carries the levels along with weight 0, for their centers.
+    values = {"d0_L2": list(levels), "d1_L2": [*derivatives, *levels]}.get(first.distance, [*levels, *derivatives])
     if first.standardize:
         points = algebra.standardize(points, list(levels), list(derivatives))
     runs = [Run(i, o) for i, o in enumerate(many, 1)]
     points = algebra.repair(points, values)
-    fitter = Fitter(spark, pack_curves(points, lengths, values), len(values), first.channel_weights(len(levels)), runs, checked_start(given or {}, many))
+    weights = first.channel_weights(len(levels))
+    weights += [0.0] * (len(values) - len(weights))
+    fitter = Fitter(spark, pack_curves(points, lengths, values), len(values), weights, runs, checked_start(given or {}, many))
     longest = algebra.shortest_longest(algebra.intervals(points, values)).first()[0] or 0
     for r in runs:
         if max(r.options.c) > longest:

@@ -20,7 +20,7 @@ def aligned_curves(result: Fit, points: DataFrame, values: Sequence[str] = ("y",
     shift = "s_clean" if cleaned else "s"
     held = result.membership.where("p_clean = 1" if cleaned else "p > 0").withColumn("_s", F.col(shift))
     pos = (F.col("x") - F.col("_s") + 1).cast("int")
-    out = points.join(held, "curve_id").join(F.broadcast(size), ["run_id", "k"]).withColumn("pos", pos).where("pos between 1 and length")
+    out = points.join(held, "curve_id").join(size, ["run_id", "k"]).withColumn("pos", pos).where("pos between 1 and length")
     return out.select("run_id", "k", "curve_id", "pos", *values, metrics.width_by_membership(F.col("p")).alias("width"))
 
 
@@ -73,7 +73,7 @@ def distance_bins(grouped: Groups, width: float, per_group: bool = False) -> Dat
     d = grouped.candidates.distances
     if not per_group:
         return metrics.histogram(d, "d", width, ("p_clean",)).withColumn("r", F.lit(grouped.r_all))
-    d = d.join(F.broadcast(grouped.groups), "motif_id")
+    d = d.join(grouped.groups, "motif_id")
     return metrics.histogram(d, "d", width, ("grp", "p_clean")).join(grouped.radii, "grp")
 
 
@@ -92,14 +92,14 @@ def group_alignment(grouped: Groups) -> DataFrame:
     """PL12: where each motif of a group lies along the group's first motif."""
     heads = grouped.groups.join(grouped.candidates.motifs.select("motif_id", "length"), "motif_id")
     first = heads.groupBy("grp").agg(F.min("motif_id").alias("first"))
-    laid = heads.join(F.broadcast(first), "grp").join(grouped.pairs.select(F.col("m1").alias("first"), F.col("m2").alias("motif_id"), "shift"), ["first", "motif_id"], "left")
+    laid = heads.join(first, "grp").join(grouped.pairs.select(F.col("m1").alias("first"), F.col("m2").alias("motif_id"), "shift"), ["first", "motif_id"], "left")
     start = F.coalesce("shift", F.lit(1))
     return laid.select("grp", "motif_id", start.alias("start"), (start + F.col("length") - 1).alias("end"))
 
 
 def frequency_scatter(grouped: Groups) -> DataFrame:
     """PL13: approximate frequency and mean distance of each motif."""
-    near = grouped.candidates.distances.join(F.broadcast(grouped.groups.join(grouped.radii, "grp")), "motif_id")
+    near = grouped.candidates.distances.join(grouped.groups.join(grouped.radii, "grp"), "motif_id")
     return discovery.approximate_frequencies(near, ["grp", "motif_id"])
 
 
@@ -112,7 +112,7 @@ def found_motifs(found: Found, freq_threshold: int = 5, top_n: int | str = "all"
 def found_segments(found: Found, points: DataFrame, values: Sequence[str] = ("y",), freq_threshold: int = 1, top_n: int | str = "all") -> DataFrame:
     """PL14, JO11: the stretch of curve of each occurrence, with its line width."""
     chosen = found_motifs(found, freq_threshold, top_n).select("rank", "motif_id", "length", "r")
-    held = found.occurrences.join(F.broadcast(chosen), "motif_id")
+    held = found.occurrences.join(chosen, "motif_id")
     pos = (F.col("x") - F.col("shift") + 1).cast("int")
     out = points.join(held, "curve_id").withColumn("pos", pos).where("pos between 1 and length")
     return out.select("rank", "motif_id", "curve_id", "shift", "pos", *values, metrics.width_by_distance(F.col("diss"), F.col("r")).alias("width"))

@@ -73,8 +73,9 @@ def emb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- runs on disk ----------------------------------------------------------
 def write_run(df: DataFrame, path: str) -> None:
-    """SC5: append results of runs; clusters (K), c and init are directories."""
-    df.write.partitionBy("clusters", "c", "init").mode("append").parquet(path)
+    """SC5: write results of runs; clusters (K), c and init are directories. A
+    run's directory is replaced as a whole, so writing a run again is safe."""
+    df.write.partitionBy("clusters", "c", "init").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def read_runs(spark: SparkSession, path: str, K: Sequence[int] | None = None, c: Sequence[int] | None = None) -> DataFrame:
