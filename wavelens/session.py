@@ -29,10 +29,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where
-    that is unset (local tests)."""
+    """The folder named in spark.checkpoint.dir. Only a session whose executors
+    are threads of this machine (tests) may do without: it gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark, "_wavelens_local", None)
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="wavelens-shared-")
