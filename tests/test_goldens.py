@@ -1,6 +1,7 @@
 """Hand-checkable results (FIXTURES.md, section 4) of kernels and relational operators."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -90,6 +91,18 @@ def test_islands(spark):
     assert got == [(3, 0.1), (6, 0.1), (8, 0.2)]
 
 
+def test_silhouette_means_without_pairs(spark):
+    """Means from sums are those over all pairs, with gaps, lone pieces and two columns."""
+    rng = random.Random(4)
+    rows = [(r, k, c, pos, rng.uniform(-5, 5), rng.uniform(-5, 5)) for r in (1, 2) for k in (1, 2, 3) for c in range(1 if k == 3 else 12) for pos in range(1, 7) if rng.random() < 0.7]
+    parts = spark.createDataFrame(rows, "run long, k int, curve_id long, pos int, y double, z double")
+    for values in (("y",), ("y", "z")):
+        pairs = silhouette.pair_distances(parts, values, ["run"]).groupBy("run", "ka", "a", "kb").agg(F.avg("d").alias("mean"))
+        want = {tuple(x)[:4]: x.mean for x in pairs.collect()}
+        got = {tuple(x)[:4]: x.mean for x in silhouette.mean_distances(parts, values, ["run"]).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
 def test_silhouette(spark):
     parts = spark.createDataFrame([(1, 1, 1, 0.0), (1, 2, 1, 1.0), (2, 3, 1, 10.0), (2, 4, 1, 12.0)], "k int, curve_id long, pos int, y double")
     d = silhouette.pair_distances(parts).withColumn("d", F.sqrt("d"))

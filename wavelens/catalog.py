@@ -375,7 +375,7 @@ def distance_quantiles(spark, sf):
 def _sil(spark, sf):
     ev = EvDay(spark, sf)
     pieces = ev.pieces()
-    return silhouette.silhouette(silhouette.pair_distances(pieces), pieces.select("k", "curve_id").distinct())
+    return silhouette.from_means(silhouette.mean_distances(pieces), pieces.select("k", "curve_id").distinct())
 
 
 @query

@@ -19,12 +19,36 @@ def pair_distances(pieces: DataFrame, values: Sequence[str] = ("y",), runs: Sequ
     return half.unionByName(half.select(*runs, F.col("kb").alias("ka"), F.col("b").alias("a"), F.col("ka").alias("kb"), F.col("a").alias("b"), "d"))
 
 
+def mean_distances(pieces: DataFrame, values: Sequence[str] = ("y",), runs: Sequence[str] = ()) -> DataFrame:
+    """(runs, ka, a, kb, mean): the means of `pair_distances` from each piece to
+    the (other) pieces of each motif, without making pairs. Pieces of a motif that
+    have the same positions are one class, with sums and sums of squares at each;
+    a piece meets classes, whose number depends on the gaps, not on the pieces."""
+    key = [*runs, "k", "curve_id"]
+    held = pieces.select(*key, "pos", *(F.col(v).cast("double").alias(v) for v in values))
+    shape = held.groupBy(*key).agg(F.sort_array(F.collect_list("pos")).alias("shape"))  # as long as the motif
+    held = held.join(shape, key)
+    moments = [*(F.sum(v).alias(f"s1_{v}") for v in values), *(F.sum(F.col(v) * F.col(v)).alias(f"s2_{v}") for v in values)]
+    classes = held.groupBy(*runs, F.col("k").alias("kb"), F.col("shape").alias("other"), "pos").agg(F.count("*").alias("n"), *moments)
+    square = sum((F.col("n") * F.col(v) * F.col(v) - 2 * F.col(v) * F.col(f"s1_{v}") + F.col(f"s2_{v}") for v in values), F.lit(0.0))
+    met = held.join(classes, [*runs, "pos"])
+    each = met.groupBy(*runs, F.col("k").alias("ka"), F.col("curve_id").alias("a"), "shape", "kb", "other")
+    each = each.agg((F.greatest(F.lit(0.0), F.sum(square)) / F.count("*") / len(values)).alias("total"), F.max("n").alias("n"))
+    itself = ((F.col("ka") == F.col("kb")) & (F.col("shape") == F.col("other"))).cast("long")
+    out = each.withColumn("n", F.col("n") - itself).groupBy(*runs, "ka", "a", "kb")
+    return out.agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean")).where("mean is not null")
+
+
 def silhouette(distances: DataFrame, members: DataFrame, runs: Sequence[str] = ()) -> DataFrame:
     """AG17, AG18, WI6: (runs, k, curve_id, sil, ord) from distances both ways
     and the members (runs, k, curve_id). a: mean to the own motif's other pieces;
     b: least mean to another motif's; a lone piece and a lone motif give 0. Means
     have as divisor the size of the motif that they are taken over."""
-    mean = distances.groupBy(*runs, "ka", "a", "kb").agg(F.avg("d").alias("mean"))
+    return from_means(distances.groupBy(*runs, "ka", "a", "kb").agg(F.avg("d").alias("mean")), members, runs)
+
+
+def from_means(mean: DataFrame, members: DataFrame, runs: Sequence[str] = ()) -> DataFrame:
+    """The same from the means (runs, ka, a, kb, mean)."""
     both = mean.groupBy(*runs, F.col("ka").alias("k"), F.col("a").alias("curve_id")).agg(F.max(F.when(F.col("ka") == F.col("kb"), F.col("mean"))).alias("own"), F.min(F.when(F.col("ka") != F.col("kb"), F.col("mean"))).alias("other"))
     out = members.select(*runs, "k", "curve_id").join(both, [*runs, "k", "curve_id"], "left")
     top = F.when(F.col("own").isNotNull() & F.col("other").isNotNull(), F.greatest("own", "other"))
