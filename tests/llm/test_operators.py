@@ -382,7 +382,8 @@ def test_token_counts(spark, request, table, library):
 def test_token_files(spark, odd, library, bits):
     got = bitplane.token_files(spark, odd, bits=bits, chunk=64, segment=1000).collect()
     want, start = [], 0
-    for i, t in sorted(texts_of(odd), key=lambda x: (x[0] is not None, x[0] or 0, (x[1] or "").encode())):
+    hashes = {r.text: r.h for r in odd.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    for i, t in sorted(texts_of(odd), key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]], (x[1] or "").encode())):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)

@@ -125,11 +125,14 @@ def _segments(path: str, end_id: int, chunk: int, segment: int, bits: bool):
 
 def write_token_files(spark: SparkSession, docs: DataFrame, folder: str, path: str = TOKENIZER, end_id: int = END_ID, chunk: int = CHUNK, segment: int = SEGMENT, bits: bool = False, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append end_id, and write the ids in ascending
-    doc_id order (null first; equal doc_ids by text) to `folder`: rows part, seg,
-    before (ids before the segment in its part), n_docs, n_ids, data. Texts, not ids, are range-partitioned: they are smaller."""
+    doc_id order (null first; equal doc_ids, which may be many, by a hash of their
+    text, then by text) to `folder`: rows part, seg, before (ids before the segment
+    in its part), n_docs, n_ids, data. Texts, not ids, are range-partitioned: they
+    are smaller."""
     ship(spark)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ordered = src.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    h = F.xxhash64("text")
+    ordered = src.repartitionByRange(partitions(spark), "doc_id", h).sortWithinPartitions("doc_id", h, "text")
     segments = ordered.mapInArrow(_segments(path, end_id, chunk, segment, bits), "seg long, before long, n_docs long, n_ids long, data binary")
     segments.withColumn("part", F.spark_partition_id().cast("long")).write.mode("overwrite").option("compression", "uncompressed").parquet(folder)
 

@@ -35,7 +35,7 @@ ORDER, FOLDS, QUANTILE, GRAINS = 6, 2, 0.999, 2000
 PRIOR = 400
 #: Bytes of text of a block and of what is taken at once, parts of a nat that a log probability is
 #: rounded to, model entries of a bucket, about, and n-grams that a task counts before it gives them out.
-TOGETHER, STEP, FINE, ENTRIES, HELD = 16 << 20, 2 << 20, 512, 2_000_000, 2_000_000
+TOGETHER, STEP, FINE, ENTRIES, HELD = 16 << 20, 1 << 20, 512, 2_000_000, 2_000_000
 _U = np.uint64
 _FOLD = 8 * ORDER
 #: Contexts of two bytes, by which buckets are found.

@@ -21,8 +21,9 @@ from ._common import Scratch, partitions
 from .blobs import pack, unpack
 from .bpe_codec import TOKENIZER
 
-#: Bytes of text in a block, and the limit of the over_limit column.
-TOGETHER, LIMIT = 16 << 20, 512
+#: Bytes of text in a block and for each bucket (whose distinct pre-tokens are held together), and the
+#: limit of the over_limit column.
+TOGETHER, BUCKET, LIMIT = 16 << 20, 256 << 20, 512
 
 
 def _dealt(pieces: pa.Array, buckets: int) -> np.ndarray:
@@ -110,12 +111,14 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str = TOKENIZER, li
 
     Null counts as empty (0 bytes, 0 tokens). Repeated rows give repeated
     results, an empty table an empty result; other columns are not read."""
-    scratch, buckets = Scratch(spark, "counts"), partitions(spark)
+    scratch = Scratch(spark, "counts")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(partitions(spark), -(-size // BUCKET))
     blocks = src.mapInArrow(_frequencies(path, buckets), "tables binary, pieces array<struct<bucket:int,blob:binary>>")
     blocks = scratch.write(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
     uses = blocks.select("block", F.explode("pieces").alias("p")).select("block", "p.bucket", "p.blob")
-    counted = uses.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_counted(path), "block long, bucket int, counts binary")
+    counted = uses.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_counted(path), "block long, bucket int, counts binary")
     # A block has at most one row for each bucket.
     counts = counted.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("counts"))
     summed = blocks.select("block", "tables").join(counts, "block", "left").mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
