@@ -12,7 +12,8 @@ from . import oracle
 from .operators import align, curves, discovery, membership, metrics, motif, silhouette
 from .options import FitOptions
 from .plans import discovery as plan
-from .plans.fit import fit, run_folder
+from .plans import plotdata
+from .plans.fit import Fit, fit, run_folder
 from .sources import curves as source
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -524,13 +525,72 @@ def occurrence_segments(spark, sf):
     return p.join(found, "curve_id").withColumn("pos", pos).where("pos between 1 and length").select("motif_id", "curve_id", "shift", "pos", "y")
 
 
+# -- tables behind figures -------------------------------------------------------
+def _result(ev: EvDay) -> Fit:
+    """The curves' fuzzy and cleaned memberships as a fit's result."""
+    m = ev.cleaned().select(F.lit(1).cast("long").alias("run_id"), "curve_id", "k", "s", "d", F.round("p", 6).alias("p"), F.col("s").alias("s_clean"), F.col("d").alias("d_clean"), "p_clean")
+    centers = ev.motif_points.select(F.lit(1).cast("long").alias("run_id"), "k", F.lit(False).alias("cleaned"), "pos", F.array(F.col("y").cast("double")).alias("ch"))
+    return Fit(centers, m, None, None, None, 1, [1.0])
+
+
+def _groups(spark, sf) -> plan.Groups:
+    """The motifs of _many in three groups, with training distances of EvDay's."""
+    _, heads, own = _many(spark, sf)
+    d = EvDay(spark, sf).aligned().select(F.col("k").cast("long").alias("motif_id"), "curve_id", "d", (F.col("d") < 4e6).cast("int").alias("p_clean"))
+    found = plan.Candidates(heads, own, d.where("d is not null"), None)
+    groups = heads.select("motif_id", (F.col("motif_id") % 3 + 1).cast("int").alias("grp"))
+    radii = spark.createDataFrame([(g, 1e6 * g) for g in (1, 2, 3)], "grp int, r double")
+    return plan.Groups(found, discovery.motif_pairs(heads, own), None, groups, radii, spark.createDataFrame([(3e6,)], "r_all double"))
+
+
 @query
 def aligned_plot_data(spark, sf):
     ev = EvDay(spark, sf)
-    held = ev.cleaned().select("curve_id", "k", "s", "p", "p_clean")
-    pos = (F.col("x") - F.col("s") + 1).cast("int")
-    out = ev.points.join(held, "curve_id").withColumn("pos", pos).where(f"pos between 1 and {LENGTH}")
-    return out.select("k", "curve_id", "pos", "y", metrics.width_by_membership(F.round("p", 6)).alias("width"), "p_clean")
+    return plotdata.aligned_curves(_result(ev), ev.points).drop("run_id")
+
+
+@query
+def plot_centers(spark, sf):
+    return plotdata.centers(_result(EvDay(spark, sf))).select("run_id", "k", "pos", F.col("ch")[0].alias("y"))
+
+
+@query
+def plot_memberships(spark, sf):
+    ev = EvDay(spark, sf)
+    labels = metrics.hard_labels(ev.fuzzy()).select("curve_id", F.col("label").cast("long").alias("label"))
+    return plotdata.memberships(_result(ev), labels)
+
+
+@query
+def plot_run_times(spark, sf):
+    """Runs in the order of their seconds, from made-up results."""
+
+    class Made(plan.Grid):
+        def table(self, name, K=None, c=None):
+            runs = _runs(spark, sf).groupBy("clusters", "c", "init").agg(F.max("iter").alias("iter"), F.max("avg_sil").alias("seconds"))
+            return runs.withColumn("status", F.when(F.col("iter") > 50, "iter_max").otherwise("converged"))
+
+    return plotdata.run_times(Made(spark, "", FitOptions(2, 5), [1.0], [2, 3], [61, 51, 41]))
+
+
+@query
+def plot_group_alignment(spark, sf):
+    return plotdata.group_alignment(_groups(spark, sf))
+
+
+@query
+def plot_distance_bins(spark, sf):
+    return plotdata.distance_bins(_groups(spark, sf), 5e6)
+
+
+@query
+def plot_distance_bins_per_group(spark, sf):
+    return plotdata.distance_bins(_groups(spark, sf), 5e6, per_group=True)
+
+
+@query
+def plot_frequencies(spark, sf):
+    return plotdata.frequency_scatter(_groups(spark, sf)).select("grp", "motif_id", "frequency", F.round("mean_diss", 3).alias("mean_diss"))
 
 
 # -- whole procedures (no SQL form: tests hold them against other ways) -------------

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .align import _square
 
 
+#: Motifs that are linked at most: their matrix has 800 MB.
+MOST_MOTIFS = 10_000
+
+
 def candidates(motifs: DataFrame, sil_threshold: float = 0.5, size_threshold: int = 2, K: Sequence[int] | None = None, c: Sequence[int] | None = None) -> DataFrame:
     """FI12, FI13, SO1: motifs (clusters, c, init, k, length, avg_sil, size) that pass,
     the longest first, then in the order of clusters (K), c, init, k; motif_id from 1."""
@@ -133,7 +137,9 @@ def cut(n: int, merges: Sequence[tuple[int, int, int, float]], height: float) ->
 
 def linkage(spark: SparkSession, motifs: DataFrame, pairs: DataFrame, height: float) -> tuple[DataFrame, DataFrame]:
     """(step, left_id, right_id, height) and (motif_id, grp). Linkage is one
-    sequential computation on the motifs' matrix, as few as they are."""
+    sequential computation on the motifs' matrix, for up to MOST_MOTIFS of them."""
+    if motifs.count() > MOST_MOTIFS:
+        raise ValueError(f"more than {MOST_MOTIFS} motifs; filter them first")
     ids = [x.motif_id for x in motifs.select("motif_id").orderBy("motif_id").collect()]
     place = {m: i for i, m in enumerate(ids)}
     d = np.full((len(ids), len(ids)), np.inf)

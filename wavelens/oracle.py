@@ -166,5 +166,16 @@ def sql() -> dict[str, str]:
             + rank() OVER (PARTITION BY grp ORDER BY mean_diss) + (count(*) OVER (PARTITION BY grp, mean_diss) - 1) / 2.0 AS score FROM (SELECT *, (motif_id % 3)::INTEGER AS grp FROM fq))) WHERE f = 1""", "fq"),
         "top_n_motifs": search("SELECT rank::INTEGER AS rank, motif_id, frequency FROM rk WHERE frequency >= 2 ORDER BY rank LIMIT 3", "fq rk"),
         "occurrence_segments": search("SELECT motif_id, curve_id, shift, (x - shift + 1)::INTEGER AS pos, y FROM oc JOIN mh USING (motif_id) JOIN ev USING (curve_id) WHERE x - shift + 1 BETWEEN 1 AND length"),
-        "aligned_plot_data": fz("SELECT k, curve_id, (x - s + 1)::INTEGER AS pos, y, round_even(round(p, 6) * 5, 2) AS width, p_clean FROM cl JOIN ev USING (curve_id) WHERE x - s + 1 BETWEEN 1 AND 7", "cl"),
+        "aligned_plot_data": fz("SELECT k, curve_id, (x - s + 1)::INTEGER AS pos, y, round_even(round(p, 6) * 5, 2) AS width FROM cl JOIN ev USING (curve_id) WHERE round(p, 6) > 0 AND x - s + 1 BETWEEN 1 AND 7", "cl"),
+        "plot_centers": ev("SELECT 1::BIGINT AS run_id, k, pos, y::DOUBLE AS y FROM mp", "mp"),
+        "plot_memberships": fz("SELECT 1::BIGINT AS run_id, k, cl.curve_id, round(p, 6) AS p, p_clean, label FROM cl LEFT JOIN hl USING (curve_id)", "cl hl"),
+        "plot_run_times": _with("rn", "SELECT *, CASE WHEN iter > 50 THEN 'iter_max' ELSE 'converged' END AS status, row_number() OVER (PARTITION BY clusters, c ORDER BY seconds DESC, init)::INTEGER AS ord FROM (SELECT K AS clusters, c, init, max(avg_sil) AS seconds, max(iter) AS iter FROM rn GROUP BY ALL)"),
+        "plot_group_alignment": ev(
+            "SELECT grp, motif_id, coalesce(shift, 1)::INTEGER AS start, (coalesce(shift, 1) + length - 1)::INTEGER AS \"end\" FROM (SELECT motif_id, length, (motif_id % 3 + 1)::INTEGER AS grp, min(motif_id) OVER (PARTITION BY motif_id % 3) AS first FROM mh) "
+            "LEFT JOIN (SELECT m1, m2, shift FROM (SELECT *, row_number() OVER (PARTITION BY m1, m2 ORDER BY d, shift) AS f FROM (SELECT *, max(overlap) OVER (PARTITION BY m1, m2) AS most FROM mr) WHERE overlap >= least(c_k, most)) WHERE f = 1) ON m1 = first AND m2 = motif_id",
+            "mh mm mr",
+        ),
+        "plot_distance_bins": _with(_AL, "SELECT (d < 4e6)::INTEGER AS p_clean, floor(d / 5e6)::BIGINT AS bin, count(*) AS n, 3e6::DOUBLE AS r FROM al WHERE d IS NOT NULL GROUP BY ALL"),
+        "plot_distance_bins_per_group": _with(_AL, "SELECT (k % 3 + 1)::INTEGER AS grp, (d < 4e6)::INTEGER AS p_clean, floor(d / 5e6)::BIGINT AS bin, count(*) AS n, 1e6::DOUBLE * (k % 3 + 1) AS r FROM al WHERE d IS NOT NULL GROUP BY ALL"),
+        "plot_frequencies": _with(_AL, "SELECT (k % 3 + 1)::INTEGER AS grp, k::BIGINT AS motif_id, count(*) FILTER (d <= 1e6 * (k % 3 + 1)) AS frequency, round(avg(d) FILTER (d <= 1e6 * (k % 3 + 1)), 3) AS mean_diss FROM al WHERE d IS NOT NULL GROUP BY k"),
     }
