@@ -103,6 +103,25 @@ def test_silhouette_means_without_pairs(spark):
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
 
 
+def test_compat_forms(spark):
+    """Q2: sums to other motifs by the size of the next one; Q4: zeros around a lone member."""
+    place = {(1, 1): 0.0, (1, 2): 1.0, (2, 3): 10.0, (2, 4): 12.0, (2, 5): 11.0, (3, 6): 30.0}
+    parts = spark.createDataFrame([(k, c, 1, y) for (k, c), y in place.items()], "k int, curve_id long, pos int, y double")
+    got = {(x.k, x.curve_id): x.sil for x in silhouette.silhouette(silhouette.pair_distances(parts), parts.select("k", "curve_id"), compat=True).collect()}
+    size = {1: 2, 2: 3, 3: 1}
+    for (k, c), y in place.items():
+        far = {o: sum((y - z) ** 2 for (m, i), z in place.items() if m == o and (m, i) != (k, c)) for o in size}
+        b = min(far[o] for o in size if o != k) / size[k % 3 + 1]
+        a = far[k] / (size[k] - 1) if size[k] > 1 else None
+        assert got[k, c] == pytest.approx(0 if a is None else (b - a) / max(a, b))
+    points = spark.createDataFrame([(1, x, float(x)) for x in range(1, 5)] + [(2, 1, 5.0)], "curve_id long, x int, y double")
+    held = spark.createDataFrame([(1, 1, -1, 1.0), (1, 2, 1, 0.5), (2, 2, 1, 0.5)], "curve_id long, k int, s int, p double")
+    heads = spark.createDataFrame([(1, 5), (2, 5)], "k int, length int")
+    by = {(x.k, x.pos): x.y for x in motif.centroid(points, held, heads, compat=True).collect()}
+    assert [by[1, i] for i in range(1, 6)] == [0.0, 0.0, 1.0, 2.0, 3.0] and (2, 5) not in by
+    assert motif.centroid(points, held, heads).where("k = 1").count() == 3
+
+
 def test_silhouette(spark):
     parts = spark.createDataFrame([(1, 1, 1, 0.0), (1, 2, 1, 1.0), (2, 3, 1, 10.0), (2, 4, 1, 12.0)], "k int, curve_id long, pos int, y double")
     d = silhouette.pair_distances(parts).withColumn("d", F.sqrt("d"))

@@ -18,11 +18,18 @@ def member_points(points: DataFrame, membership: DataFrame, motifs: DataFrame, k
     return held.withColumn("overlap", F.count("*").over(Window.partitionBy("curve_id", *keys)))
 
 
-def centroid(points: DataFrame, membership: DataFrame, motifs: DataFrame, m: float = 2.0, values: Sequence[str] = ("y",), keys: Sequence[str] = ("k",)) -> DataFrame:
+def centroid(points: DataFrame, membership: DataFrame, motifs: DataFrame, m: float = 2.0, values: Sequence[str] = ("y",), keys: Sequence[str] = ("k",), compat: bool = False) -> DataFrame:
     """AG5: (keys, pos, values) of the weighted centers; a member weighs p^m by
-    its overlap. Positions that no member covers are absent."""
+    its overlap. Positions that no member covers are absent; compat (Q4): where a
+    motif has one member only, they are 0."""
     held = member_points(points, membership, motifs, keys).withColumn("c", F.pow("p", F.lit(float(m))) / F.col("overlap"))
-    return held.groupBy(*keys, F.col("pos").cast("int").alias("pos")).agg(*((F.sum(F.col("c") * F.col(v)) / F.sum("c")).alias(v) for v in values))
+    out = held.groupBy(*keys, F.col("pos").cast("int").alias("pos")).agg(*((F.sum(F.col("c") * F.col(v)) / F.sum("c")).alias(v) for v in values))
+    if not compat:
+        return out
+    alone = membership.where("p > 0").groupBy(*keys).agg(F.count("*").alias("n")).where("n = 1")
+    empty = motifs.join(alone, list(keys)).select(*keys, F.explode(F.sequence(F.lit(1), F.col("length"))).alias("pos"))
+    empty = empty.join(out, [*keys, "pos"], "left_anti")
+    return out.unionByName(empty.select(*keys, "pos", *(F.lit(0.0).alias(v) for v in values)))
 
 
 def trimmed(center: DataFrame, keys: Sequence[str] = ("k",)) -> tuple[DataFrame, DataFrame]:

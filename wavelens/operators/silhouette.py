@@ -39,16 +39,24 @@ def mean_distances(pieces: DataFrame, values: Sequence[str] = ("y",), runs: Sequ
     return out.agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean")).where("mean is not null")
 
 
-def silhouette(distances: DataFrame, members: DataFrame, runs: Sequence[str] = ()) -> DataFrame:
+def silhouette(distances: DataFrame, members: DataFrame, runs: Sequence[str] = (), compat: bool = False) -> DataFrame:
     """AG17, AG18, WI6: (runs, k, curve_id, sil, ord) from distances both ways
     and the members (runs, k, curve_id). a: mean to the own motif's other pieces;
     b: least mean to another motif's; a lone piece and a lone motif give 0. Means
     have as divisor the size of the motif that they are taken over."""
-    return from_means(distances.groupBy(*runs, "ka", "a", "kb").agg(F.avg("d").alias("mean")), members, runs)
+    return from_means(distances.groupBy(*runs, "ka", "a", "kb").agg(F.avg("d").alias("mean")), members, runs, compat)
 
 
-def from_means(mean: DataFrame, members: DataFrame, runs: Sequence[str] = ()) -> DataFrame:
-    """The same from the means (runs, ka, a, kb, mean)."""
+def from_means(mean: DataFrame, members: DataFrame, runs: Sequence[str] = (), compat: bool = False) -> DataFrame:
+    """The same from the means (runs, ka, a, kb, mean). compat (Q2): sums over
+    another motif are divided by the size of the motif that follows the own one."""
+    if compat:
+        sizes = members.groupBy(*runs, "k").agg(F.count("*").alias("n"))
+        count = F.max("k").over(Window.partitionBy(*runs))
+        heads = sizes.select(*runs, F.col("k").alias("ka"), (F.col("k") % count + 1).alias("next"))
+        after = heads.join(sizes.withColumnsRenamed({"k": "next", "n": "divisor"}), [*runs, "next"])
+        mean = mean.join(after.drop("next"), [*runs, "ka"]).join(sizes.withColumnRenamed("k", "kb"), [*runs, "kb"])
+        mean = mean.withColumn("mean", F.when(F.col("ka") == F.col("kb"), F.col("mean")).otherwise(F.col("mean") * F.col("n") / F.col("divisor")))
     both = mean.groupBy(*runs, F.col("ka").alias("k"), F.col("a").alias("curve_id")).agg(F.max(F.when(F.col("ka") == F.col("kb"), F.col("mean"))).alias("own"), F.min(F.when(F.col("ka") != F.col("kb"), F.col("mean"))).alias("other"))
     out = members.select(*runs, "k", "curve_id").join(both, [*runs, "k", "curve_id"], "left")
     top = F.when(F.col("own").isNotNull() & F.col("other").isNotNull(), F.greatest("own", "other"))
