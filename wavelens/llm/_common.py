@@ -103,6 +103,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt(df: DataFrame, *order: str) -> DataFrame:
+    """Rows by their column `bucket`: buckets go to partitions in turn, so that
+    each has as many of them as the others, and lie in the order of bucket, order."""
+    n = partitions(df.sparkSession)
+    return df.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("bucket", *order)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

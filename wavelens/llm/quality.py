@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wordkit
-from ._common import Scratch, growing, id_filter, in_filter, join_unique, partitions, ship
+from ._common import Scratch, dealt, growing, id_filter, in_filter, join_unique, partitions, ship
 from .blobs import pack, unpack
 
 #: Bytes of an n-gram, folds, quantile of trusted documents that is kept, and grains of log
@@ -392,8 +392,7 @@ def scores(spark: SparkSession, src: DataFrame, model: Model, scratch: Scratch)
     lookups = blocks.select("block", "docs").mapInArrow(_pieces(sent), "bucket int, block long, blob binary")
     for order, df in enumerate(model.orders[2:], 3):
         lookups = lookups.unionByName(df.mapInArrow(_shards(order, model.splits, model.buckets), "bucket int, block long, blob binary"))
-    dealt = lookups.repartition(max(partitions(spark), 1), "bucket").sortWithinPartitions("bucket", "block")
-    found = dealt.mapInArrow(_looked_up(spark.sparkContext.broadcast(model.low)), "block long, bucket int, worth binary")
+    found = dealt(lookups, "block").mapInArrow(_looked_up(spark.sparkContext.broadcast(model.low)), "block long, bucket int, worth binary")
     # A block has at most one row for each bucket.
     worth = found.groupBy("block").agg(F.collect_list(F.struct("bucket", "worth")).alias("worth"))
     both = blocks.select("block", "docs").join(growing(worth), "block", "left").select("docs", "worth")

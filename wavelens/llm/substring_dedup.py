@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import wordkit
-from ._common import Scratch, growing, partitions
+from ._common import Scratch, dealt, growing, partitions
 from .blobs import pack, unpack
 
 #: Words of a window and of a minimiser, and windows of a packed string at most.
@@ -288,7 +288,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     buckets = max(partitions(spark), -(-3 * size // BUCKET))
     common = spark.sparkContext.broadcast(common_grams(src, gram))
     sent = src.select(*key, "text").mapInArrow(_dealt(buckets, common, window, gram), "bucket int, blob binary")
-    ranges = sent.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_found(window), "doc long, th long, start int, n int")
+    ranges = dealt(sent).mapInArrow(_found(window), "doc long, th long, start int, n int")
     ranges = scratch.write(ranges, "ranges")
     own = ranges.groupBy("doc", "th").agg(F.collect_list(F.struct("start", "n")).alias("ranges"))  # as many as the document has words, at most
     both = src.select("doc_id", *key, "text").join(growing(own), ["doc", "th"], "left").select("doc_id", "text", "ranges")

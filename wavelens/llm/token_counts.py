@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, wordkit
-from ._common import Scratch, partitions
+from ._common import Scratch, dealt, partitions
 from .blobs import pack, unpack
 from .bpe_codec import TOKENIZER
 
@@ -118,7 +118,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str = TOKENIZER, li
     blocks = src.mapInArrow(_frequencies(path, buckets), "tables binary, pieces array<struct<bucket:int,blob:binary>>")
     blocks = scratch.write(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
     uses = blocks.select("block", F.explode("pieces").alias("p")).select("block", "p.bucket", "p.blob")
-    counted = uses.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_counted(path), "block long, bucket int, counts binary")
+    counted = dealt(uses).mapInArrow(_counted(path), "block long, bucket int, counts binary")
     # A block has at most one row for each bucket.
     counts = counted.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts")).alias("counts"))
     summed = blocks.select("block", "tables").join(counts, "block", "left").mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
