@@ -8,7 +8,6 @@ sample of bounded size and keeps every word and n-gram of it."""
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -24,15 +23,18 @@ from ._common import Scratch, ship
 #: same share of it. The longest n-gram.
 FIT_BYTES, LONGEST = 24 << 20, 5
 UNKNOWN = "und"
-#: Characters of words that are no letters: numbers other than decimal digits.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isdecimal() and not c.isalpha())
-_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_RUNS = re.compile(r"[^\W\d_]+")
 #: Words outside the model that a worker remembers.
 _REMEMBERED = 300_000
 
 
 def words_of(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+    """Runs of letters, in lower case."""
+    found = _RUNS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # The pattern also takes numbers that aren't decimal digits.
+    return [w for x in found for w in "".join(c if c.isalpha() else " " for c in x).split(" ") if w]
 
 
 def grams_of(word: str, n: int) -> list[str]:
