@@ -16,7 +16,7 @@ from ._common import ship
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Bytes of text that are encoded together; equal pieces among them are encoded once.
-TOGETHER = 12 << 20
+TOGETHER = 4 << 20
 _TYPES = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 _ARROW = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
