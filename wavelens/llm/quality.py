@@ -35,7 +35,7 @@ ORDER, FOLDS, QUANTILE, GRAINS = 6, 2, 0.999, 2000
 PRIOR = 400
 #: Bytes of text of a block and of what is taken at once, parts of a nat that a log probability is
 #: rounded to, model entries of a bucket, about, and n-grams that a task counts before it gives them out.
-TOGETHER, STEP, FINE, ENTRIES, HELD = 16 << 20, 1 << 20, 512, 2_000_000, 2_000_000
+TOGETHER, STEP, FINE, ENTRIES, HELD = 16 << 20, 1 << 19, 512, 2_000_000, 2_000_000
 _U = np.uint64
 _FOLD = 8 * ORDER
 #: Contexts of two bytes, by which buckets are found.
@@ -310,8 +310,15 @@ def _looked_up(low):
 # -- documents --------------------------------------------------------------
 def _distinct(data: np.ndarray, at: np.ndarray, folds: np.ndarray) -> np.ndarray:
     """All keys of a block in ascending order."""
-    parts = [_runs(np.sort(keys))[0] for _, _, keys in _keyed(data, at, folds)]
-    return _runs(np.sort(np.concatenate([np.zeros(0, np.int64), *parts])))[0]
+    out = np.zeros(0, np.int64)
+    parts, n = [out], 0
+    for _, high, keys in _keyed(data, at, folds):
+        parts.append(_runs(np.sort(keys))[0])
+        n += len(parts[-1])
+        if n > HELD // 2 or high == len(data):  # few keys are held twice
+            out = _runs(np.sort(np.concatenate([out, *parts])))[0]
+            parts, n = [], 0
+    return out
 
 
 def _sums(data: np.ndarray, at: np.ndarray, folds: np.ndarray, keys: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -388,7 +395,7 @@ def scores(spark: SparkSession, src: DataFrame, model: Model, scratch: Scratch)
     sent = spark.sparkContext.broadcast((model.splits, model.buckets))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = src.mapInArrow(_blocks, "docs binary").withColumn("block", F.monotonically_increasing_id())
-    blocks = scratch.write_bucketed(blocks, "block", max(partitions(spark), -(-size // TOGETHER)), "blocks")
+    blocks = scratch.write_bucketed(blocks, "block", max(partitions(spark), -(-2 * size // TOGETHER)), "blocks")
     lookups = blocks.select("block", "docs").mapInArrow(_pieces(sent), "bucket int, block long, blob binary")
     for order, df in enumerate(model.orders[2:], 3):
         lookups = lookups.unionByName(df.mapInArrow(_shards(order, model.splits, model.buckets), "bucket int, block long, blob binary"))
