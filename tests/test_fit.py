@@ -7,11 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wavelens.functions import kernels
 from wavelens.operators import align, membership, motif
 from wavelens.operators import curves as algebra
 from wavelens.options import FitOptions
 from wavelens.plans import discovery, plotdata
-from wavelens.plans.fit import checked_start, fit, pooled_quantiles
+from wavelens.plans.fit import Fit, checked_start, fit, pooled_quantiles
 
 
 def planted(n=12, length=60, size=15, seed=3):
@@ -159,6 +160,34 @@ def test_interrupted_grid(spark, tmp_path, monkeypatch):
         discovery.find_candidates(spark, points, lengths, [2], [10], 0, f"file://{tmp_path}/x", options)
 
 
+def test_silhouettes_of_many_pieces_make_no_pairs(spark, monkeypatch):
+    """Means of blocks are those of the pairs, with gaps, copies, motifs of two lengths and empty blocks."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for run_id, k, length, n in ((1, 1, 9, 23), (1, 2, 6, 17), (2, 1, 7, 1), (2, 2, 7, 12)):
+        for i in range(n):
+            y = 1e5 + rng.normal(0, 1 + k, (length, 2))
+            y[rng.random(length) < (0.4 if i % 3 == 0 else 0)] = np.nan
+            y[:] = np.nan if i == 5 else y
+            rows += [(run_id, k, 2 * i + c, y.tobytes()) for c in ((0, 1) if i % 4 == 0 else (0,))]
+    parts = spark.createDataFrame(rows, "run_id long, k int, curve_id long, y binary")
+    result = Fit(None, None, None, spark.createDataFrame([(1, 5), (2, 6)], "run_id long, c int"), None, 2, [0.75, 0.25])
+    key = lambda x: (x.run_id, x.ka, x.a, x.kb)
+    for contained in (False, True):
+        pairs = discovery.piece_distances(parts, result, contained).groupBy("run_id", "ka", "a", "kb").agg(F.avg("d").alias("mean")).where("mean is not null")
+        want = {key(x): x["mean"] for x in pairs.collect()}
+        for block in (8192, 5, 1):
+            monkeypatch.setattr(discovery, "_BLOCK", block)
+            monkeypatch.setattr(kernels, "_TILE", 7)
+            got = {key(x): x["mean"] for x in discovery.mean_piece_distances(parts, result, contained).collect()}
+            assert want and got == pytest.approx(want, rel=1e-9)
+    # Twenty thousand pieces of a motif are two hundred million pairs.
+    many = spark.range(20_000).select(F.lit(1).cast("long").alias("run_id"), (F.col("id") % 2 + 1).cast("int").alias("k"), F.col("id").alias("curve_id"), F.lit(np.arange(12.0).tobytes()).alias("y"))
+    monkeypatch.undo()
+    met = discovery.mean_piece_distances(many, result)
+    assert met.agg(F.count("*"), F.sum("mean")).first() == (40_000, 0.0)
+
+
 def test_derivative_fit_has_level_centers(spark):
     """A fit by derivatives gives the centers of the levels under the same shifts and memberships."""
     curves = planted(n=8, length=40, size=10)
