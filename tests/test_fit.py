@@ -51,6 +51,23 @@ def test_one_iteration_agrees_with_operators(spark):
     assert got.iterations.first().j == pytest.approx(sum(d * p * p for d, p in want.values()))
 
 
+@pytest.mark.filterwarnings("ignore:run 1 reached iter_max")
+def test_ids_and_lengths_of_other_types(spark):
+    """Ids may be ints, lengths longs; points without an id are of no curve."""
+    points, lengths = frames(spark, planted(n=6, length=40, size=10))
+    key = lambda x: (x.curve_id, x.k)
+    made = []
+    for id_type, len_type in (("long", "int"), ("int", "long")):
+        p = points.select(F.col("curve_id").cast(id_type).alias("curve_id"), "x", "y")
+        n = lengths.select(F.col("curve_id").cast(id_type).alias("curve_id"), F.col("len").cast(len_type).alias("len"))
+        if made:
+            p = p.unionByName(p.where("curve_id = 0").withColumn("curve_id", F.lit(None).cast(id_type)))
+            n = n.unionByName(n.where("curve_id = 0").withColumn("curve_id", F.lit(None).cast(id_type)))
+        got = fit(spark, p, n, FitOptions(2, 10, c_max=10, max_gap=0, iter_max=1)).membership.collect()
+        made.append([(*key(x), x.s, pytest.approx(x.d), pytest.approx(x.p)) for x in sorted(got, key=key)])
+    assert len(made[0]) == 12 and made[0] == [(*x[:3], x[3].expected, x[4].expected) for x in made[1]]
+
+
 def test_planted_motifs_are_found(spark):
     curves = planted()
     points, lengths = frames(spark, curves)
