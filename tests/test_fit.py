@@ -86,6 +86,11 @@ def test_curves_without_room_overlap(spark):
     assert result.motif_points.where("not cleaned").agg(F.max("pos")).first()[0] > 10
 
 
+def test_settings_of_folders_from_before_short_curves():
+    kept = discovery._settings(FitOptions(2, 10, short_curves="overlap"), ["y"], [], False)
+    assert "short_curves" in kept and "short_curves" not in discovery._settings(FitOptions(2, 10), ["y"], [], False)
+
+
 def test_longest_run_and_short_curves():
     y = np.array([np.nan, 1, 2, np.nan, 3, 4, 5, np.nan])[:, None]
     assert [kernels.longest_run(v) for v in (y, y[:3], y[:1], y[:0], y[4:7])] == [3, 2, 0, 0, 3]
@@ -94,7 +99,7 @@ def test_longest_run_and_short_curves():
 
 
 @pytest.mark.filterwarnings("ignore:.* reached iter_max", "ignore:.*no room for a motif", "ignore:c_max is over")
-@pytest.mark.parametrize("name", ["fixpoint_fit"])
+@pytest.mark.parametrize("name", ["fixpoint_fit", "motif_discovery_pipeline"])
 def test_users_without_five_days_in_a_row(spark, tmp_path, name):
     """Larger tables have users without room for a motif of the query: all users stay in."""
     from wavelens import catalog
